@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import mixing, packing, quality, sharding
 from .common import table
 
 
@@ -20,7 +21,26 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.interleave(table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.measure(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_sharding": op3_sharding,
+    "op4_mixing_sources": op4_mixing_sources,
+    "op5_quality_rules": op5_quality_rules,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing_sources": mixing.ORACLE,
+    "op5_quality_rules": quality.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
