@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, sharding
+from . import chat, licenses, mixing, packing, quality, sharding
 from .common import table
 
 
@@ -41,12 +41,17 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(conversations.unionByName(own)))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("findings")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_sharding": op3_sharding,
     "op4_mixing_sources": op4_mixing_sources,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
+    "op9_license_scan": op9_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing_sources": mixing.ORACLE,
