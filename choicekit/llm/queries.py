@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, licenses, mixing, packing, quality, sharding, simhash, spanhash
+from . import chat, html, licenses, mixing, packing, passages, quality, sharding, simhash, spanhash
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(conversations.unionByName(own)))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(table(spark, sf_dir, "documents")).drop("text_crc32")
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spanhash.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing_sources": op4_mixing_sources,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_license_scan": op9_license_scan,
     "op10_html_extraction": op10_html_extraction,
