@@ -6,8 +6,9 @@ weight among the others until none is above. With sources sorted by cap / weight
 is capped if cap_i * (weights from i on) <= weight_i * (what is left for them).
 
 A source's target is floor(target / size) whole repetitions and a fractional one. The fractional one takes
-documents in seeded hash order while they fit, and then the document, of those left over, that comes
-nearest to the rest. Documents are always taken whole.
+documents in seeded hash order while they fit, and of the next document as many first words as are left to the target. So a
+source's taken words miss its target by less than one word (per repeated row), and one document of a source at most is
+cut short.
 
 Scale: running sums go over hash ranges of about `bucket_rows` rows, whose sums give each range its start;
 one source may hold most rows. What is decided per source (boundaries in the hash order) is a few numbers;
@@ -20,11 +21,11 @@ no rows; a source without words has target 0. Extra columns are dropped by mix()
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, materialize
+from .common import SPACE, WORD, free_name, materialize
 from .sharding import source_key
 
 WEIGHTS, TOTAL, EPOCHS, SEED, BUCKET_ROWS, BROADCAST_SOURCES = (5, 2, 1), 1.5, 2, 11, 20_000, 100_000
@@ -67,44 +68,55 @@ def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, total: float =
     unit = F.struct("_key", F.col("_id").isNotNull().alias("is"), "_id", "_size")
     fits = F.col("cum") <= F.col("rest")
     per = summed.groupBy("_k").agg(
-        *(F.first(c).alias(c) for c in ("source_size", "target", "whole", "rest")), F.max(F.when(fits, unit)).alias("last"), F.coalesce(F.max(F.when(fits, F.col("cum"))), F.lit(0)).alias("got")
-    )
-    gaps = per.select(F.col("_k").alias("k"), (F.col("rest") - F.col("got")).alias("gap"))
-    gaps = ranges.select("k", "b").join(gaps, "k")
-    apart = F.abs(F.col("u") - F.col("gap"))
-    closest = (
-        summed.filter(~fits & (F.col("_size") > 0)).join(gaps, (F.col("_k") == F.col("k")) & (F.col("_b") == F.col("b")))
-        .filter(apart < F.col("gap")).groupBy("_k").agg(F.min(F.struct(apart.alias("apart"), unit.alias("unit"))).alias("c")).select("_k", F.col("c.unit").alias("pick"))
+        *(F.first(c).alias(c) for c in ("source_size", "target", "whole", "rest")), F.max(F.when(fits, unit)).alias("last"), F.coalesce(F.max(F.when(fits, F.col("cum"))), F.lit(0)).alias("got"),
+        F.min(F.when(~fits, F.struct(unit.alias("unit"), "u"))).alias("next"),
     )
-    return rows, materialize(per.join(closest, "_k", "left").select("_k", "source_size", "target", "whole", "last", "pick")), buckets
+    # rows of equal doc_id and size share what is left
+    part = F.floor((F.col("rest") - F.col("got")) * F.col("next.unit._size") / F.col("next.u"))
+    return rows, materialize(per.select("_k", "source_size", "target", "whole", "last", F.col("next.unit").alias("cut"), F.coalesce(part, F.lit(0)).cast("long").alias("part"))), buckets
 
 
 def _decided(rows: DataFrame, per: DataFrame, buckets: int, broadcast_sources: int) -> DataFrame:
-    """rows with source_size, target and the repetitions `times`."""
+    """rows with source_size, target, the whole repetitions `times` and the words `more` of one that is cut short."""
     if per.limit(broadcast_sources + 1).count() <= broadcast_sources:
         x = rows.join(F.broadcast(per), "_k")
     else:
         spread = per.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).withColumn("_b", F.col("_b").cast("long"))
         x = rows.join(spread, ["_k", "_b"])
     unit = F.struct("_key", F.col("_id").isNotNull().alias("is"), "_id", "_size")
-    extra = F.coalesce(unit <= F.col("last"), F.lit(False)) | F.coalesce(unit == F.col("pick"), F.lit(False))
-    return x.withColumn("times", F.col("whole") + extra.cast("long"))
+    extra = F.coalesce(unit <= F.col("last"), F.lit(False))
+    more = F.when(F.coalesce(unit == F.col("cut"), F.lit(False)), F.col("part")).otherwise(F.lit(0)).cast("long")
+    return x.withColumn("times", F.col("whole") + extra.cast("long")).withColumn("more", more)
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, epochs: int = EPOCHS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
-    """doc_id, source, size, source_size, target, times, taken (= times * size) of every row."""
+    """doc_id, source, size, source_size, target, times, more, taken (= times * size + more) of every row."""
     rows, per, buckets = plan(docs, weights=weights, total=total, epochs=epochs, seed=seed, bucket_rows=bucket_rows)
     x = _decided(rows, per, buckets, broadcast_sources)
-    return x.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "times", (F.col("times") * F.col("_size")).alias("taken"))
+    return x.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "times", "more", (F.col("times") * F.col("_size") + F.col("more")).alias("taken"))
 
 
 def apply(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, epochs: int = EPOCHS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
-    """The mixture itself: each row of docs, with all its columns, as often as mix() takes it."""
+    """The mixture itself: each row of docs, with all its columns, as often as mix() takes it, and where it takes `more` words once with the first of its words only (n_chars, where there is one, follows)."""
     _, per, buckets = plan(docs, weights=weights, total=total, epochs=epochs, seed=seed, bucket_rows=bucket_rows)
     whole = free_name(docs, "_row")
     rows = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), "doc_id", "source", "text"), seed, buckets, [whole])
-    x = _decided(rows, per, buckets, broadcast_sources).filter("times > 0")
-    return x.select(whole, F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select(f"{whole}.*")
+    x = _decided(rows, per, buckets, broadcast_sources)
+    copies = F.array_repeat(F.lit(-1).cast("long"), F.col("times").cast("int"))
+    x = x.select(whole, F.explode(F.when(F.col("more") > 0, F.concat(copies, F.array("more"))).otherwise(copies)).alias("_words"))
+    row = F.col(whole)
+    short = first_words(row["text"], F.col("_words"))
+    changed = {"text": short}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length(short).cast(dict(docs.dtypes)["n_chars"])
+    return x.select(*(F.when(F.col("_words") < 0, row[c]).otherwise(changed[c]).alias(c) if c in changed else row[c].alias(c) for c in docs.columns))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """text from its first word to the end of its n-th (n > 0, and there are more)."""
+    trimmed = F.regexp_replace(text, rf"^{SPACE}", "")
+    rest = F.element_at(F.split(trimmed, SPACE, (n + 1).cast("int")), -1)
+    return F.regexp_replace(F.left(trimmed, F.length(trimmed) - F.length(rest)), rf"{SPACE}$", "")
 
 
 #: What mix() gives for `documents`, as one statement over whole tables.
@@ -127,11 +139,11 @@ r AS (SELECT u.*, p.source_size, p.target, p.whole, p.target - p.whole * p.sourc
              sum(u) OVER (PARTITION BY u.source ORDER BY k, doc_id NULLS FIRST, size) AS cum
       FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source),
 g AS (SELECT source, any_value(rest) - coalesce(max(CASE WHEN cum <= rest THEN cum END), 0) AS gap FROM r GROUP BY source),
-q AS (SELECT source, k, doc_id, size FROM (
-        SELECT r.*, row_number() OVER (PARTITION BY r.source ORDER BY abs(r.u - g.gap), k, doc_id NULLS FIRST, size) AS n
-        FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source WHERE cum > rest AND size > 0 AND abs(r.u - g.gap) < g.gap) WHERE n = 1)
+q AS (SELECT source, k, doc_id, size, gap, u FROM (
+        SELECT r.*, gap, row_number() OVER (PARTITION BY r.source ORDER BY k, doc_id NULLS FIRST, size) AS n
+        FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source WHERE cum > rest) WHERE n = 1)
 SELECT s.doc_id, s.size, r.source_size, r.target,
-       CAST(s.size * (r.whole + CASE WHEN r.cum <= r.rest OR q.k IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(s.size * (r.whole + CASE WHEN r.cum <= r.rest THEN 1 ELSE 0 END) + coalesce(floor(q.gap * q.size / q.u), 0) AS BIGINT) AS taken
 FROM sized s
 JOIN r ON s.source IS NOT DISTINCT FROM r.source AND s.k = r.k AND s.doc_id IS NOT DISTINCT FROM r.doc_id AND s.size = r.size
 LEFT JOIN q ON s.source IS NOT DISTINCT FROM q.source AND s.k = q.k AND s.doc_id IS NOT DISTINCT FROM q.doc_id AND s.size = q.size
