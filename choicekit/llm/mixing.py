@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, WORD, free_name, materialize
 from .sharding import source_key
 
-WEIGHTS, TOTAL, EPOCHS, SEED, BUCKET_ROWS, BROADCAST_SOURCES = (5, 2, 1), 1.5, 2, 11, 20_000, 100_000
+WEIGHTS, TOTAL, EPOCHS, SEED, BUCKET_ROWS, BROADCAST_SOURCES = (5, 2, 1), 1.5, 2, 11, 2_000, 100_000
 
 
 def _keyed(docs: DataFrame, seed: int, buckets: int, keep: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ proportion, so cutting it into stretches of equal length gives shards whose row
 most (the law `rows`) and whose share of every source differs by about one row.
 
 Scale: a source may hold most rows, so ranks are not taken in one window per source. Hash ranges within
-the source (and ranges of the fractional rank) hold about `bucket_rows` rows each; their counts give each
+the source (and ranges of the fractional rank) hold about `bucket_rows` (times 10) rows each; their counts give each
 range its first rank, and only the rows inside a range are sorted together. The text is hashed and
 measured at the scan and never shuffled.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SHARDS, SEED, BUCKET_ROWS = 16, 7, 20_000
+SHARDS, SEED, BUCKET_ROWS = 16, 7, 2_000
 
 
 def source_key(source: Column) -> Column:
@@ -34,7 +34,7 @@ def source_key(source: Column) -> Column:
 def interleave(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, source, size, text_crc32, shard, slot of every row."""
     n = docs.count()
-    buckets = max(1, -(-n // bucket_rows))
+    buckets, cuts = max(1, -(-n // bucket_rows)), max(1, -(-n // (10 * bucket_rows)))
     raw = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id", "source", source_key(F.col("source")).alias("k"), (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"),
@@ -47,7 +47,7 @@ def interleave(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED, bucke
     ranked = rows.join(before, ["k", "b"]).withColumn("r", F.col("before") + F.row_number().over(W.partitionBy("k", "b").orderBy(*tie)))
     odd = 2 * F.col("r") - 1
     ranked = materialize(
-        ranked.select("doc_id", "source", "k", "size", "text_crc32", "r", (odd / (2 * F.col("n_source"))).alias("f"), F.expr(f"(2 * r - 1) * {buckets} div (2 * n_source)").alias("fb"))
+        ranked.select("doc_id", "source", "k", "size", "text_crc32", "r", (odd / (2 * F.col("n_source"))).alias("f"), F.expr(f"(2 * r - 1) * {cuts} div (2 * n_source)").alias("fb"))
     )
     starts = ranked.groupBy("fb").agg(F.count(F.lit(1)).alias("c")).select("fb", (F.sum("c").over(W.orderBy("fb")) - F.col("c")).alias("start"))
     placed = ranked.join(starts, "fb").withColumn("at", F.col("start") + F.row_number().over(W.partitionBy("fb").orderBy("f", "k", "r")) - 1)
