@@ -1,6 +1,6 @@
 r"""Quality rules as a short-circuit cascade; DataFrame functions only.
 
-A rule is a condition under which a document goes. On a sample of at most `sample_rows` rows every rule's
+A rule is a condition under which a document goes; rules read the column text. On a sample of at most `sample_rows` rows every rule's
 cost (seconds) and selectivity (rows it rejects) are measured; the cascade then is one CASE expression with
 the rules in order of rejections per cost, so that a row pays for a rule only if all before it let it pass.
 The order changes what is paid, never what is kept: the verdict is that no rule rejects.
@@ -22,9 +22,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, release, words_of
+from .common import WORD, words_of
 
 SYMBOLS, SAMPLE_ROWS, SEED = "[#*$%&|<>]", 1000, 3
+#: Of every partition that is read for the sample, the share of rows taken; rows of more characters are no use for it.
+SAMPLE_SHARE, SAMPLE_CHARS = 0.05, 1_000_000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -112,7 +114,9 @@ def text_rules(text: Column) -> list[Rule]:
 
 def order_rules(docs: DataFrame, rules: list[Rule], *, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> list[Rule]:
     """rules by rejections per cost on a sample of docs, best first."""
-    sample = materialize(docs.sample(0.2, seed).limit(sample_rows))
+    # limit() under collect() reads partitions until it has enough, not the whole table; what it brings is bounded in rows and bytes
+    texts = docs.select("text").sample(SAMPLE_SHARE, seed).filter(F.coalesce(F.length("text"), F.lit(0)) < SAMPLE_CHARS).limit(sample_rows).collect()
+    sample = docs.sparkSession.createDataFrame([(r.text,) for r in texts], "text string").coalesce(1)
 
     def timed(*columns: Column) -> tuple[float, list[int]]:
         best, row = float("inf"), None
@@ -127,7 +131,6 @@ def order_rules(docs: DataFrame, rules: list[Rule], *, sample_rows: int = SAMPLE
     for k, rule in enumerate(rules):
         cost, (rejected,) = timed(F.count_if(rule.rejects))
         found.append((-rejected / max(cost - floor, 1e-3), k))
-    release(sample)
     return [rules[k] for _, k in sorted(found)]
 
 

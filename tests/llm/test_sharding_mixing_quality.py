@@ -136,11 +136,11 @@ def test_quality(spark):
 
 
 def test_rule_order(spark):
-    df = spark.createDataFrame([(i, "word " * 60 if i % 2 else "x") for i in range(50)], "doc_id long, text string")
+    df = spark.createDataFrame([(i, "word " * 60 if i % 2 else "x") for i in range(500)], "doc_id long, text string")
     never = quality.Rule("never", F.lit(False))
     often = quality.Rule("often", F.length("text") < 5)
     assert [r.name for r in quality.order_rules(df, [never, often])] == ["often", "never"]
     for order in ([never, often], [often, never]):
-        assert df.filter(quality.passes(order)).count() == 25
+        assert df.filter(quality.passes(order)).count() == 250
     bomb = quality.Rule("bomb", F.raise_error(F.lit("evaluated")).cast("boolean"))
     assert df.filter(quality.passes([quality.Rule("all", F.lit(True) & (F.col("doc_id") >= 0)), bomb])).count() == 0
