@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
+from .functions.levels import MAX_LEVELS, is_categorical
 from .functions.tables import confint_rows, summary_text, tidy_rows
 from .operators import design as D
 from .operators import kernel, newton, sandwich
@@ -92,21 +93,23 @@ class ClogitFit:
         return cls(**own)
 
 
-def _check_choice(df: DataFrame, choice: str) -> None:
+def _counts(df: DataFrame, needed: list[str], choice: str, extra: list) -> tuple[int, int, int, list]:
+    """Rows, complete rows, complete rows whose choice isn't 0 or 1, and extra aggregates over complete rows; one pass."""
+    ok = ~D.incomplete(df, needed)
     y = F.col(f"`{choice}`").cast("double")
-    bad, n = df.agg(F.count_if(y.isNull() | ~y.isin(0.0, 1.0)), F.count(F.lit(1))).first()
-    if n == 0:
+    row = df.agg(F.count(F.lit(1)), F.count_if(ok), F.count_if(ok & ~y.isin(0.0, 1.0)), *extra).first()
+    if not row[1]:
         raise ValueError("no complete cases")
-    if bad:
-        raise ValueError(f"{choice} must be 0 or 1 in every row; {bad} rows differ")
+    if row[2]:
+        raise ValueError(f"{choice} must be 0 or 1 in every row; {row[2]} rows differ")
+    return row[0], row[1], row[2], list(row[3:])
 
 
 def fit_columns(
     df: DataFrame, names: list[str], columns: list, terms: list[str], *, choice: str, stratum: str, cluster: str | None = None, offset: str | None = None, order_by: list[str] | None = None,
     drop_collinear: bool = True, scale: bool = False, max_iter: int = 25, tol: float = 1e-6, compat: bool = False,
 ) -> ClogitFit:
-    """The fit over design columns (expressions on df, whose rows are complete)."""
-    _check_choice(df, choice)
+    """The fit over design columns (expressions on df, whose rows are complete and whose choices are 0 or 1)."""
     p = len(names)
     spark = df.sparkSession
     rows = rows_of(df, stratum=stratum, y=F.col(f"`{choice}`"), x=columns, offset=F.col(f"`{offset}`") if offset else None, cluster=cluster, order_by=order_by or [])
@@ -114,8 +117,9 @@ def fit_columns(
     conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     kept_conf = conf.get(key)
     try:
-        mean_k, events = packed.agg(F.avg("k"), F.sum("n_chosen")).first()
-        conf.set(key, str(int(min(10_000, max(1, BATCH_BYTES / (8 * p * mean_k))))))
+        events, rows_a_block = packed.agg(F.sum(F.aggregate("n_chosen", F.lit(0).cast("long"), lambda s, v: s + v)), F.max(F.size("off"))).first()
+        # packed by now; from here on a row is a block
+        conf.set(key, str(int(min(10_000, max(1, BATCH_BYTES / (8 * p * (rows_a_block or 1)))))))
         about = kernel.describe(packed, p)
         if about["n_zero"] or about["n_multi"]:
             warnings.warn(SETS_MESSAGE.format(**about), stacklevel=3)
@@ -126,20 +130,11 @@ def fit_columns(
         if not len(keep):
             raise ValueError("no design columns are left")
         by = np.where(~about["binary"] & (np.sqrt(about["variance"]) > 1), np.sqrt(about["variance"]), 1.0)[keep] if scale else np.ones(len(keep))
-        if (by != 1).any():
-            whole = np.ones(p)
-            whole[keep] = by
-            factors = F.array(*(F.lit(float(1 / v)) for v in whole))
-            scaled = F.transform("x", lambda v, i: v * F.get(factors, i % p))
-            packed_scaled = packed.withColumn("x", scaled).persist(StorageLevel.MEMORY_AND_DISK)
-        else:
-            packed_scaled = packed
-        best = newton.maximise(packed_scaled, p, keep, max_iter=max_iter, tol=tol, compat=compat)
+        columns_kept = kernel.Columns(keep, by if (by != 1).any() else None)
+        best = newton.maximise(packed, p, columns_kept, max_iter=max_iter, tol=tol, compat=compat)
         kept_names = [names[i] for i in keep]
         vcov = newton.invert(best.information, kept_names)
-        robust, n_clusters = (None, None) if cluster is None else sandwich.robust(packed_scaled, p, best.beta, keep, vcov, about["n_groups"])
-        if packed_scaled is not packed:
-            packed_scaled.unpersist()
+        robust, n_clusters = (None, None) if cluster is None else sandwich.robust(packed, p, best.beta, columns_kept, vcov, about["n_groups"])
     finally:
         conf.set(key, kept_conf)
         packed.unpersist()
@@ -165,9 +160,11 @@ def fit_formula(
     D.check_columns(df, [*needed, *(order_by or [])])
     slim = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*needed, *(order_by or [])])])
     cases = D.complete_cases(slim, needed)
-    n_all, n_kept = slim.count(), cases.count()
-    if not n_kept:
-        raise ValueError("no complete cases")
+    strings = [c for c in f.columns if c not in (levels or {}) and is_categorical(slim, c)]
+    n_all, n_kept, _, kinds = _counts(slim, needed, f.response, [F.approx_count_distinct(f"`{c}`") for c in strings])
+    for c, n in zip(strings, kinds):
+        if n > 2 * MAX_LEVELS:
+            raise ValueError(f"{c} has about {n} levels")
     own = D.build(cases, f, levels)
     fit = fit_columns(cases, own.names, own.columns, own.terms, choice=f.response, stratum=stratum, cluster=cluster, offset=offset, order_by=order_by, drop_collinear=drop_collinear, scale=scale, max_iter=max_iter, tol=tol, compat=compat)
     fit.formula, fit.n_dropped_rows = formula, n_all - n_kept
@@ -181,10 +178,11 @@ def fit_matrix(df: DataFrame, x_cols: list[str], *, choice: str, stratum: str, o
         if not isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType)):
             raise ValueError(f"{c} is not numeric")
     needed = [*x_cols, choice, stratum, *(c for c in (offset, cluster) if c)]
-    if df.count() != D.complete_cases(df, needed).count():
-        raise ValueError("missing values in the design, choice, stratum, offset or cluster columns")
     columns = [F.col(f"`{c}`").cast("double") for c in x_cols]
-    flat = [c for c, v in zip(x_cols, df.agg(*(F.coalesce(F.var_samp(c), F.lit(0.0)) for c in columns)).first()) if v < np.finfo(float).eps]
+    n_all, n_kept, _, variances = _counts(df, needed, choice, [F.coalesce(F.var_samp(c), F.lit(0.0)) for c in columns])
+    if n_all != n_kept:
+        raise ValueError("missing values in the design, choice, stratum, offset or cluster columns")
+    flat = [c for c, v in zip(x_cols, variances) if v < np.finfo(float).eps]
     if flat:
         warnings.warn(f"columns without variance: {', '.join(flat)}", stacklevel=2)
     return fit_columns(df, x_cols, columns, list(x_cols), choice=choice, stratum=stratum, cluster=cluster, offset=offset, order_by=order_by, drop_collinear=False, max_iter=max_iter, tol=tol, compat=compat)

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: More distinct values than this are no factor.
+MAX_LEVELS = 10_000
+
+
 def is_categorical(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 
@@ -19,7 +23,7 @@ def missing(df: DataFrame, name: str) -> Column:
     return c.isNull() | F.isnan(c) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else c.isNull()
 
 
-def distinct_levels(df: DataFrame, names: list[str], limit: int = 10_000) -> dict[str, list[str]]:
+def distinct_levels(df: DataFrame, names: list[str], limit: int = MAX_LEVELS) -> dict[str, list[str]]:
     """Sorted distinct values of each column, in one pass; more than `limit` levels can't be a factor and raise an error."""
     if not names:
         return {}

@@ -27,12 +27,17 @@ def check_columns(df: DataFrame, names: list[str]) -> None:
         raise ValueError(f"Column(s) not found in data: {', '.join(lacking)}")
 
 
-def complete_cases(df: DataFrame, names: list[str]) -> DataFrame:
-    """Rows (not whole sets) without a missing value in names."""
+def incomplete(df: DataFrame, names: list[str]) -> Column:
+    """Whether a row misses a value in names."""
     bad = F.lit(False)
     for n in dict.fromkeys(names):
         bad = bad | missing(df, n)
-    return df.filter(~bad)
+    return bad
+
+
+def complete_cases(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows (not whole sets) without a missing value in names."""
+    return df.filter(~incomplete(df, names))
 
 
 def _factor(name: str, levels: list[str]) -> list[tuple[str, Column]]:

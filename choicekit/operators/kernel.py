@@ -13,19 +13,34 @@ from pyspark.sql import functions as F
 MANY_TASKS = 256
 
 
+class Columns:
+    """Which design columns a fit reads, and what it divides them by."""
+
+    def __init__(self, index: np.ndarray, by: np.ndarray | None = None):
+        self.index, self.by = index, by
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        if len(self.index) != x.shape[1]:
+            x = x[:, self.index]
+        return x if self.by is None else x / self.by
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False)
+
+
 class Sets:
     """The choice sets of one batch: X, offsets and where each set starts."""
 
-    def __init__(self, batch: pa.RecordBatch, p: int, keep: np.ndarray | None, skip_unchosen: bool = True):
-        k = batch.column("k").to_numpy(zero_copy_only=False).astype(np.int64)
-        chosen = batch.column("chosen").to_numpy(zero_copy_only=False).astype(np.int64)
-        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
-        off = batch.column("off").flatten().to_numpy(zero_copy_only=False)
+    def __init__(self, batch: pa.RecordBatch, p: int, keep: Columns | None, skip_unchosen: bool = True):
+        k = _flat(batch, "k").astype(np.int64)
+        chosen = _flat(batch, "chosen").astype(np.int64)
+        x, off = _flat(batch, "x").reshape(-1, p), _flat(batch, "off")
         self.good = chosen >= 0 if skip_unchosen else np.ones(len(k), bool)
         if not self.good.all():
             rows = np.repeat(self.good, k)
             x, off, k, chosen = x[rows], off[rows], k[self.good], chosen[self.good]
-        self.x = x if keep is None else x[:, keep]
+        self.x = x if keep is None else keep.of(x)
         self.off, self.k = off, k
         self.start = np.cumsum(k) - k
         self.has = chosen >= 0
@@ -86,7 +101,7 @@ def task_sums(packed: DataFrame, columns: list[str], width: int, add: Callable[[
 _COLUMNS = ["k", "chosen", "off", "x"]
 
 
-def evaluate(packed: DataFrame, p: int, beta: np.ndarray, keep: np.ndarray | None = None, skip_unchosen: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
+def evaluate(packed: DataFrame, p: int, beta: np.ndarray, keep: Columns | None = None, skip_unchosen: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
     """Log likelihood, gradient and the information matrix (minus the Hessian) at beta."""
     q = len(beta)
     upper = np.triu_indices(q)
@@ -107,7 +122,7 @@ def evaluate(packed: DataFrame, p: int, beta: np.ndarray, keep: np.ndarray | Non
     return float(v[0]), v[1 : 1 + q], info + np.triu(info, 1).T
 
 
-def logliks(packed: DataFrame, p: int, beta: np.ndarray, step: np.ndarray, sizes: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+def logliks(packed: DataFrame, p: int, beta: np.ndarray, step: np.ndarray, sizes: np.ndarray, keep: Columns | None = None) -> np.ndarray:
     """Log likelihoods at beta + s * step for every s of sizes, in one job."""
 
     def add(batch: pa.RecordBatch) -> np.ndarray:
@@ -129,8 +144,7 @@ def describe(packed: DataFrame, p: int) -> dict:
 
     def add(batch: pa.RecordBatch) -> np.ndarray:
         s = Sets(batch, p, None, skip_unchosen=False)
-        n_chosen = batch.column("n_chosen").to_numpy(zero_copy_only=False)
-        n_clusters = batch.column("n_clusters").to_numpy(zero_copy_only=False)
+        n_chosen, n_clusters = _flat(batch, "n_chosen"), _flat(batch, "n_clusters")
         counts = [len(s.x), len(s.k), (n_chosen == 0).sum(), (n_chosen > 1).sum(), (n_clusters > 1).sum()]
         mean = np.add.reduceat(s.x, s.start, axis=0) / s.k[:, None]
         inside = np.abs(s.x - np.repeat(mean, s.k, axis=0))
@@ -165,10 +179,10 @@ def describe(packed: DataFrame, p: int) -> dict:
     }
 
 
-def cluster_scores(packed: DataFrame, p: int, beta: np.ndarray, keep: np.ndarray | None = None) -> DataFrame:
+def cluster_scores(packed: DataFrame, p: int, beta: np.ndarray, keep: Columns | None = None) -> DataFrame:
     """cluster, u array: sums over the cluster's sets of x_chosen - mean x; summed per batch before the shuffle."""
     q = len(beta)
-    cluster = dict(packed.dtypes)["cluster"]
+    cluster = dict(packed.dtypes)["cluster"].removeprefix("array<")[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +191,7 @@ def cluster_scores(packed: DataFrame, p: int, beta: np.ndarray, keep: np.ndarray
                 continue
             prob, _ = s.softmax(s.x @ beta + s.off)
             score = s.x[s.chosen] - s.means(prob)
-            own = batch.column("cluster").filter(pa.array(s.good)).dictionary_encode()
+            own = batch.column("cluster").flatten().filter(pa.array(s.good)).dictionary_encode()
             code = own.indices.to_numpy(zero_copy_only=False)
             total = np.zeros((len(own.dictionary), q))
             np.add.at(total, code, score)

@@ -35,13 +35,13 @@ def _solve(a: np.ndarray, g: np.ndarray) -> np.ndarray | None:
     return None
 
 
-def maximise(packed: DataFrame, p: int, keep: np.ndarray, *, max_iter: int = 25, tol: float = 1e-6, compat: bool = False) -> Optimum:
+def maximise(packed: DataFrame, p: int, keep: kernel.Columns, *, max_iter: int = 25, tol: float = 1e-6, compat: bool = False) -> Optimum:
     """One job an iteration where the full step climbs, three where it must be halved (all 20 halvings are one job).
 
     Converged: max|g| < tol; or the relative change of the log likelihood is below tol / 100 while
     max|g| < 1e4 tol; or the log likelihood stands still five times in a row. Every step is guarded, also the first.
     """
-    beta = np.zeros(len(keep))
+    beta = np.zeros(len(keep.index))
     loglik, g, info = kernel.evaluate(packed, p, beta, keep)
     before, still, converged, iterations = None, 0, False, 0
     while iterations < max_iter:

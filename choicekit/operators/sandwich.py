@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from . import kernel
 
 
-def robust(packed: DataFrame, p: int, beta: np.ndarray, keep: np.ndarray, vcov: np.ndarray, n_groups: int) -> tuple[np.ndarray, int]:
+def robust(packed: DataFrame, p: int, beta: np.ndarray, keep: kernel.Columns, vcov: np.ndarray, n_groups: int) -> tuple[np.ndarray, int]:
     """(sandwich variance, number of clusters): C/(C-1) * (G-1)/G * V (sum of u u') V."""
     names = [f"u{i}" for i in range(len(beta))]
     scores = kernel.cluster_scores(packed, p, beta, keep).persist()

@@ -325,11 +325,9 @@ CLUSTERED = f"{FIT4}, w AS (SELECT cid, {', '.join(f'sum(u{i}) AS u{i}' for i in
 
 @query(f"{CLUSTERED} SELECT cid, {', '.join(f'{q(f"u{i}", 4)} AS u{i}' for i in range(1, 5))} FROM w")
 def q_cluster_scores(spark, sf_dir):
-    import numpy as np
-
     from ..operators.kernel import cluster_scores
 
-    scores = cluster_scores(_packed(spark, sf_dir), 4, fit4(spark, sf_dir).beta, np.arange(4))
+    scores = cluster_scores(_packed(spark, sf_dir), 4, fit4(spark, sf_dir).beta, None)
     return scores.select(F.col("cluster").alias("cid"), *(r(f"u{i}", 4).alias(f"u{i + 1}") for i in range(4)))
 
 
@@ -338,11 +336,9 @@ PAIRS = [(i, j) for i in range(1, 5) for j in range(1, 5) if i <= j]
 
 @query(f"{CLUSTERED} " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {q(f'sum(u{i} * u{j})', 2)} AS v FROM w" for i, j in PAIRS))
 def q_meat(spark, sf_dir):
-    import numpy as np
-
     from ..operators.kernel import cluster_scores, gram
 
-    m = gram(cluster_scores(_packed(spark, sf_dir), 4, fit4(spark, sf_dir).beta, np.arange(4)), [f"u{i}" for i in range(4)])
+    m = gram(cluster_scores(_packed(spark, sf_dir), 4, fit4(spark, sf_dir).beta, None), [f"u{i}" for i in range(4)])
     return frame(spark, [(i, j, float(m[i - 1, j - 1])) for i, j in PAIRS], "i int, j int, v double").withColumn("v", r("v", 2))
 
 
