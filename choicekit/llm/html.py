@@ -18,6 +18,7 @@ dropped.
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from .common import ship
 
-PATH_DIM, WORD_DIM, STATS, HIDDEN = 512, 64, 6, 16
+PATH_DIM, WORD_DIM, STATS, HIDDEN = 256, 64, 6, 16
 PAGES, EPOCHS, SEED, BATCH_CHARS = 2400, 7, 5, 1 << 20
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
@@ -328,17 +329,15 @@ _SAID = {
 
 def page_sample(n: int = PAGES, seed: int = SEED) -> list[tuple[str, set[str]]]:
     """n made-up pages, each with the texts of its main blocks: containers with telling and untelling names, boilerplate before, after and inside the article, and pages without any container."""
-    rng = np.random.default_rng(seed)
+    rng = random.Random(seed)
+    pick, between = rng.choice, rng.randrange
     syllables = [a + b + c for a in "bcdfglmnprstvw" for b in "aeiouéöü" for c in ("", "n", "r", "st")]
 
-    def pick(xs):
-        return xs[int(rng.integers(len(xs)))]
-
     def words(k: int, said: str = "", stop: bool = True) -> str:
-        own = ["".join(pick(syllables) for _ in range(int(rng.integers(1, 4)))) for _ in range(max(1, k))]
+        own = ["".join(rng.choices(syllables, k=between(1, 4))) for _ in range(max(1, k))]
         for w in said.split():
             if rng.random() < 0.4:
-                own[int(rng.integers(len(own)))] = w
+                own[between(len(own))] = w
         noise = rng.random()
         text = (" | " if noise < 0.05 else "%%% " if noise < 0.08 else " ").join(own if noise < 0.95 else own[:1] * len(own))
         return text[0].upper() + text[1:] + ("." if stop else "")
@@ -358,7 +357,7 @@ def page_sample(n: int = PAGES, seed: int = SEED) -> list[tuple[str, set[str]]]:
             """Article blocks."""
             parts = []
             for _ in range(k):
-                text = words(int(rng.integers(1, 12)) if rng.random() < 0.25 else int(rng.integers(8, 90)))
+                text = words(between(1, 12) if rng.random() < 0.25 else between(8, 90))
                 kind = rng.random()
                 if kind < 0.7:
                     if rng.random() < 0.15:
@@ -368,17 +367,17 @@ def page_sample(n: int = PAGES, seed: int = SEED) -> list[tuple[str, set[str]]]:
                     else:
                         parts.append(f"<p>{text}</p>")
                 elif kind < 0.8:
-                    text = words(int(rng.integers(1, 9)), stop=False)
+                    text = words(between(1, 9), stop=False)
                     parts.append(tag(pick(["h2", "h3", "h4"]), text))
                 elif kind < 0.9:
-                    items = [words(int(rng.integers(1, 15)), stop=rng.random() < 0.5) for _ in range(int(rng.integers(1, 5)))]
+                    items = [words(between(1, 15), stop=rng.random() < 0.5) for _ in range(between(1, 5))]
                     main.update(items)
                     parts.append(tag(pick(["ul", "ol"]), "".join(f"<li>{x}</li>" for x in items)))
                     continue
                 elif kind < 0.95:
                     parts.append(f"<blockquote><p>{text}</p></blockquote>" if rng.random() < 0.5 else f"<pre>{text}</pre>")
                 else:
-                    cells = [words(int(rng.integers(1, 5)), stop=False) for _ in range(4)]
+                    cells = [words(between(1, 5), stop=False) for _ in range(4)]
                     main.update(cells)
                     parts.append("<table><tr><td>" + "</td><td>".join(cells[:2]) + "</td></tr><tr><td>" + "</td><td>".join(cells[2:]) + "</td></tr></table>")
                     continue
@@ -389,17 +388,17 @@ def page_sample(n: int = PAGES, seed: int = SEED) -> list[tuple[str, set[str]]]:
             said = _SAID[kind] if rng.random() < 0.4 else ""
             spec = pick(_BOILER[kind])
             if kind in ("menu", "share") or kind in ("footer", "side", "header") and rng.random() < 0.4:
-                items = [f'<a href="/{k}">{words(int(rng.integers(1, 4)), said, False)}</a>' for k in range(int(rng.integers(2, 8)))]
+                items = [f'<a href="/{k}">{words(between(1, 4), said, False)}</a>' for k in range(between(2, 8))]
                 inner = "".join(f"<li>{x}</li>" for x in items) if spec.startswith("ul") else "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if rng.random() < 0.7 else " ".join(items)
                 if rng.random() < 0.3:
                     inner = f"<h3>{words(3, said, False)}</h3>{inner}" if not spec.startswith("ul") else inner
                 return tag(spec, inner)
             if kind == "comments":
-                own = [f"<p>{words(int(rng.integers(3, 60)), said)}</p>" for _ in range(int(rng.integers(1, 5)))]
+                own = [f"<p>{words(between(3, 60), said)}</p>" for _ in range(between(1, 5))]
                 return tag(spec, ("<h3>Comments</h3>" if rng.random() < 0.5 else "") + "".join(tag(pick(["div class=comment", "li", "div class=reply", "article class=comment", "div"]), x) for x in own))
             if kind == "form":
                 return tag(spec, f"<label>{words(2, said, False)}</label><input name=q><button>{words(1, said, False)}</button>" + (f"<p>{words(9, said)}</p>" if rng.random() < 0.4 else ""))
-            text = words(int(rng.integers(2, 40)), said, rng.random() < 0.7)
+            text = words(between(2, 40), said, rng.random() < 0.7)
             if kind == "footer" and rng.random() < 0.6:
                 text = f"&copy; {text}"
             if kind == "header" and rng.random() < 0.5:
@@ -407,15 +406,15 @@ def page_sample(n: int = PAGES, seed: int = SEED) -> list[tuple[str, set[str]]]:
             how = rng.random()
             return tag(spec, text if how < 0.5 or spec.startswith("p") else f"<p>{text}</p>" if how < 0.8 else f"<h3>{words(3, said, False)}</h3><p>{text}</p>")
 
-        title = words(int(rng.integers(2, 12)), stop=False)
+        title = words(between(2, 12), stop=False)
         main.add(title)
         head = f"<h1>{title}</h1>"
         if rng.random() < 0.15:
             head = f"<header>{head}</header>"
-        k = int(rng.integers(0, 5)) if rng.random() < 0.3 else int(rng.integers(3, 16))
+        k = between(0, 5) if rng.random() < 0.3 else between(3, 16)
         inside = head
         while k > 0:
-            step = int(rng.integers(1, 8))
+            step = between(1, 8)
             inside += body(min(step, k))
             k -= step
             if k > 0 and rng.random() < 0.3:
@@ -427,7 +426,7 @@ def page_sample(n: int = PAGES, seed: int = SEED) -> list[tuple[str, set[str]]]:
         before = "".join(boiler(x) for x in ("menu", "header", "notice", "ad", "form", "menu") if rng.random() < (0.15 if bare else 0.45))
         after = "".join(boiler(x) for x in ("share", "comments", "side", "ad", "form", "notice", "footer") if rng.random() < (0.15 if bare else 0.4))
         page = before + page + after
-        for _ in range(int(rng.integers(0, 3))):
+        for _ in range(between(0, 3)):
             page = tag(pick(_WRAP), page)
         out.append((f"<html><head><title>{title}</title></head><body>{page}</body></html>", main))
     return out
