@@ -65,6 +65,18 @@ def test_against_numpy(spark, n, k):
     assert np.allclose(plain.beta, numpy_fit([(x, y, o * 0) for x, y, o in sets], 3)[0], atol=1e-6)
 
 
+def test_sets_across_batches(spark):
+    df, sets = choice_frame(spark, 9, 40, 11)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        fit = fit_matrix(df, ["x0", "x1", "x2"], choice="y", stratum="sid", offset="off", order_by=["i"])
+    finally:
+        spark.conf.set(key, kept)
+    assert fit.n_groups == 40 and fit.n_obs == 440 and np.allclose(fit.beta, numpy_fit(sets, 3)[0], atol=1e-6)
+
+
 def test_anchors(spark):
     df = q.choice_sets(spark, SF)
     fit = fit_formula(df, "y ~ x1 + x2 + f", stratum="sid", cluster="cid", order_by=q.KEYS[1:])
