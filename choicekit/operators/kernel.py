@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 #: Beyond this many tasks, sums of tasks are added up on the executors first.
 MANY_TASKS = 256
 
@@ -65,6 +67,7 @@ def task_sums(packed: DataFrame, columns: list[str], width: int, add: Callable[[
 
     merge(a, b) replaces the sum where the vectors combine otherwise.
     """
+    ship(packed.sparkSession)
     join = merge or (lambda a, b: a + b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +184,7 @@ def describe(packed: DataFrame, p: int) -> dict:
 
 def cluster_scores(packed: DataFrame, p: int, beta: np.ndarray, keep: Columns | None = None) -> DataFrame:
     """cluster, u array: sums over the cluster's sets of x_chosen - mean x; summed per batch before the shuffle."""
+    ship(packed.sparkSession)
     q = len(beta)
     cluster = dict(packed.dtypes)["cluster"].removeprefix("array<")[:-1]
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 
 def group_bounds(df: DataFrame, stratum: str) -> DataFrame:
     """stratum, size and the 0-based start of its run in the order of strata.
@@ -37,6 +39,7 @@ def pack(rows: DataFrame, n_columns: int) -> DataFrame:
     for one or several clusters; the 0-based place of its first chosen row, or -1), off and x: arrays over the
     block's rows. One shuffle on the set; a set is never split, so it must fit into a task.
     """
+    ship(rows.sparkSession)
     order = [c for c in rows.columns if c[0] == "o" and c != "off"]
     kind = dict(rows.dtypes)["cluster"]
     names = ["cluster", "k", "n_chosen", "n_clusters", "chosen", "off", "x"]
