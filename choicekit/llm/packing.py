@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,12 @@ from .common import partitions, ship
 
 CAPACITY, END_ID, BUCKET_DOCS = 4096, 1, 8192
 #: Entries of a worker's word cache; about 200 bytes each.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACES = "\t-\r \x85\xa0"
-_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+".encode("latin-1"))
+_TOKEN = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^{_SPACES}{_LETTERS}{_NUMBERS}]+".encode("latin-1"))
 _LOWER = bytes(ord(c) if len(c := chr(i).lower()) == 1 and ord(c) < 256 else i for i in range(256))
 _PURE = re.compile(f"[{_LETTERS}]+".encode("latin-1")).fullmatch
 #: ASCII separators that str.split() knows and the tokenizer doesn't.
@@ -92,11 +93,13 @@ class WordBpe:
                 cut.append(_TOKEN.findall(text.encode("latin-1").translate(_LOWER)))
             except UnicodeEncodeError:
                 cut.append(None if _ODD_SPACE.search(text) else text.split())
-        all_words: set = set().union(*(c for c in cut if c))
-        missing = all_words.difference(self.words)
+        missing: set = set()
+        for words in cut:
+            if words:
+                missing.update(filterfalse(self.words.__contains__, words))
         if missing:
             if len(self.words) + len(missing) > CACHE_WORDS:
-                missing = all_words
+                missing = set().union(*(c for c in cut if c))
             self._learn(sorted(missing, key=lambda w: (isinstance(w, str), w)))
         for text, words in zip(texts, cut):
             yield self._ids(text).tobytes() if words is None else b"".join(map(self.words.__getitem__, words))
