@@ -33,6 +33,8 @@ from .common import partitions, ship
 P = np.uint64((1 << 31) - 1)
 BASES = (1_000_003, 998_244_353)
 SPAN, SKETCH = 16, 64
+#: Ranges of doc_id per partition.
+RANGES = 6
 
 
 def reduce_mod(x: np.ndarray) -> np.ndarray:
@@ -163,7 +165,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = partitions(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     ids = docs.select(key.alias("key"))
-    cuts = sorted(set(map(float, ids.stat.approxQuantile("key", [i / n for i in range(1, n)], 1 / (4 * n))))) if n > 1 else []
+    m = RANGES * n  # ranges fall into partitions by hash: several in each even them out
+    cuts = sorted(set(map(float, ids.stat.approxQuantile("key", [i / m for i in range(1, m)], 1 / (4 * m))))) if n > 1 else []
     cuts = [c for c in cuts if -(2.0**63) < c < 2.0**63]
     own = _range_of(key, cuts)
     firsts = {r["r"]: r["key"] for r in ids.select("key").groupBy(_range_of(F.col("key"), cuts).alias("r")).agg(F.min("key").alias("key")).collect()}
