@@ -19,7 +19,7 @@ fingerprint of one key. Components come from components.py.
 
 Null and empty texts have fingerprint 0 and link like any other. Repeated rows are rows of their own. Null
 doc_ids never become a component's id unless it has no other. An empty table gives no rows. Extra columns
-are dropped by components() and kept by dedup().
+are dropped by components() and kept by dedup(). dedup() keeps one row of a component, whatever doc_ids its rows share.
 """
 
 from __future__ import annotations
@@ -75,6 +75,17 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", F.encode("text", "utf-8").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
+def _fingerprints(docs: DataFrame, k: int, row: str) -> DataFrame:
+    """doc_id, row (the column of that name), fp of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t.as_py() or b"", k) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
+
+    return docs.select("doc_id", F.col(row).alias("row"), F.encode("text", "utf-8").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, fp long")
+
+
 def chain_keys(length: int) -> list[tuple[int, int]]:
     """(start, mask) of the segment sets that the first `length` (3, 5 or 7) segments of a chain have in common: the first, and enough of the rest for every budget."""
     sets = [(0,)]
@@ -188,8 +199,21 @@ def _components(rows: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component: the smallest doc_id (of repeated rows with that id, one)."""
-    kept = materialize(_components(materialize(fingerprints(docs, k))).filter("doc_id <=> component_id").select("doc_id").distinct())
-    n = free_name(docs, "_n")
-    out = docs.join(kept.withColumnRenamed("doc_id", n), docs["doc_id"].eqNullSafe(F.col(n)), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """One row of each component of docs, with all its columns: that of the smallest doc_id, nulls last; of several rows with it, that of the smallest hash of the row.
+
+    Components are those of components(). A component follows from
+    the text alone, so rows that share a doc_id, null or not, fall away only where their texts are near copies.
+    """
+    ship(docs.sparkSession)
+    hashed = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    row, part = free_name(docs, "_row"), free_name(docs, "_part")
+    docs = docs.withColumn(row, F.xxhash64(*hashed))
+    rows = materialize(_fingerprints(docs, k, row))
+    distinct = materialize(rows.select("fp").distinct())
+    found, node = connected_components(links(distinct, chain_length(distinct.count()))), "fp"
+    rows = rows.join(found.select(F.col("node").alias(node), "component"), node, "left")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    kept = rows.groupBy(F.coalesce("component", node).alias(part)).agg(F.min(order).alias("least"))
+    kept = materialize(kept.select(part, F.col("least.doc_id").alias("_id_of"), F.col("least.row").alias("_row_of")))
+    out = docs.join(kept, (docs[row] == kept["_row_of"]) & docs["doc_id"].eqNullSafe(kept["_id_of"]))
+    return out.dropDuplicates([part]).select(*[F.col(f"`{c}`") for c in docs.columns if c != row])

@@ -94,3 +94,11 @@ def test_path_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 100: 99}
+
+
+def test_dedup_keeps_rows_that_only_share_an_id(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2]), (3, texts[3]), (None, texts[4]), (8, texts[4]), (9, texts[4]), (5, texts[5]), (5, texts[5])]
+    kept = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.text, r.doc_id) for r in kept if r.doc_id is not None) == sorted([(texts[2], 3), (texts[3], 3), (texts[4], 8), (texts[5], 5)])
+    assert sorted(r.text for r in kept if r.doc_id is None) == texts[:2]
