@@ -113,7 +113,7 @@ def near(x: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (np.cumsum(turned, axis=1) <= BUDGET).all(axis=1)
 
 
-def forest(fps: np.ndarray) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """Positions (member, root) of the components of distinct fps under the full Hamming check, roots left out."""
     out: list[tuple[int, int]] = []
     left = np.arange(len(fps))
@@ -121,7 +121,7 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
         root, left = int(left[0]), left[1:]
         front = [root]
         while front and len(left):
-            hit = np.bitwise_count(fps[left] ^ fps[front.pop()]) <= DISTANCE
+            hit = np.bitwise_count(fps[left] ^ fps[front.pop()]) <= distance
             found = left[hit].tolist()
             out += [(x, root) for x in found]
             front += found
@@ -198,19 +198,169 @@ def _components(rows: DataFrame) -> DataFrame:
     return rows.join(materialize(of), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+#: Keys of near_sets(): BANDS groups of ROWS min-hashes. A pair of likeness 0.8 shares no key once in 38,000.
+BANDS, ROWS = 20, 4
+#: Differing bits up to which fingerprints that share a key are looked at: pairs of likeness 0.8 differ in 10, unrelated ones in 32.
+WIDE = 26
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes, k: int) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of the shingles; fewer than k words are one shingle, no words none."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    return np.unique(np.array([xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(max(1, len(words) - k + 1))], np.uint64))
+
+
+def _majority(own: np.ndarray) -> int:
+    bits = np.unpackbits(own.view(np.uint8), bitorder="little").reshape(len(own), 64)
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(own), bitorder="little").view("<u8")[0])
+
+
+def sketch(own: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """(set id, fingerprint, keys) of a shingle set; the fingerprint counts each shingle once."""
+    from xxhash import xxh64_intdigest
+
+    if not len(own):
+        return 0, 0, np.empty(0, np.int64)
+    fp = np.uint64(_majority(own)).view(np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 2048):
+        h = own[at : at + 2048, None] * _MIX[0] + _MIX[1]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, h.min(axis=0))
+    keys = [xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
+    return xxh64_intdigest(own.tobytes(), 1) - (1 << 63), int(fp), np.array(keys, np.uint64).view(np.int64)
+
+
+def alike(sets: list[np.ndarray], fps: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Positions (member, root) of the components that the pairs of likeness `similarity` and more form, roots left out."""
+    out: list[tuple[int, int]] = []
+    sizes = np.array([len(x) for x in sets])
+    left = np.arange(len(sets))
+    while len(left):
+        root, left = int(left[0]), left[1:]
+        front = [root]
+        while front and len(left):
+            x = front.pop()
+            low, high = np.minimum(sizes[left], sizes[x]), np.maximum(sizes[left], sizes[x])
+            may = np.flatnonzero((low >= similarity * high - 1e-9) & (np.bitwise_count(fps[left] ^ fps[x]) <= WIDE))
+            hit = np.zeros(len(left), bool)
+            for i in may.tolist():
+                other = sets[left[i]]
+                at = np.searchsorted(sets[x], other)
+                both = int((sets[x][np.minimum(at, len(sets[x]) - 1)] == other).sum())
+                hit[i] = both >= similarity * (len(sets[x]) + len(other) - both) - 1e-9
+            found = left[hit].tolist()
+            out += [(y, root) for y in found]
+            front += found
+            left = left[~hit]
+    return out
+
+
+def near_sets(docs: DataFrame, k: int, similarity: float, row: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, set_id of each row; node, component of the sets that have one of exact Jaccard likeness `similarity` or more).
+
+    At such likeness fingerprints are too far apart for segments to be equal, so sets meet by min-hash keys. Those
+    that meet within WIDE bits form rough components; each is read by one task, which compares the shingle sets.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    text = F.encode("text", "utf-8").alias("text")
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [sketch(shingles(t.as_py() or b"", k)) for t in b.column(2)]
+            cols = [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "row", "set_id", "fp", "keys"])
+
+    rows = materialize(docs.select("doc_id", F.col(row).alias("row"), text).mapInArrow(sketches, f"doc_id {kind}, row long, set_id long, fp long, keys array<long>"))
+    first = rows.groupBy("set_id").agg(F.min("row").alias("row"))
+    distinct = rows.join(first, ["set_id", "row"]).dropDuplicates(["set_id"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def pairs(key, sid, fp) -> pa.RecordBatch:
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            edges = np.flatnonzero(np.diff(key)) + 1
+            begin, size = np.concatenate([[0], edges]), np.diff(np.concatenate([[0], edges, [len(key)]]))
+            for at, n in zip(begin[size > SHORT].tolist(), size[size > SHORT].tolist()):
+                found = np.array(forest(fp[at : at + n], WIDE), np.int64).reshape(-1, 2) + at
+                a.append(sid[found[:, 0]])
+                b.append(sid[found[:, 1]])
+            short = np.repeat(size <= SHORT, size)
+            key, sid, fp = key[short], sid[short], fp[short]
+            for d in range(1, min(SHORT, len(key))):
+                i = np.flatnonzero(key[d:] == key[:-d])
+                if not len(i):
+                    break
+                i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= WIDE]
+                a.append(sid[i])
+                b.append(sid[i + d])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+        for batch in batches:
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            new[2] = new[2].view(np.uint64)
+            rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
+            if len(rest[0]) and rest[0][0] != rest[0][-1]:
+                cut = int(np.searchsorted(rest[0], rest[0][-1]))
+                yield pairs(*(x[:cut] for x in rest))
+                rest = [x[cut:] for x in rest]
+        if rest is not None and len(rest[0]):
+            yield pairs(*rest)
+
+    n = partitions(docs.sparkSession)
+    edges = distinct.select(F.explode("keys").alias("key"), "set_id", "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    rough = connected_components(edges)
+    members = rough.union(rough.select("component", "component").distinct())
+    asked = materialize(members.join(first, members["node"] == first["set_id"]).select("component", "set_id", F.col("row").alias("_row_of")))
+    texts = docs.join(asked, docs[row] == asked["_row_of"]).select("component", "set_id", text)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        which, sids, sets = None, [], []
+
+        def done() -> pa.RecordBatch:
+            found = alike(sets, np.array([_majority(x) for x in sets], np.uint64), similarity)
+            return pa.RecordBatch.from_arrays([pa.array([sids[i] for i, _ in found], pa.int64()), pa.array([sids[j] for _, j in found], pa.int64())], ["node", "component"])
+
+        for b in batches:
+            for c, sid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if c != which:
+                    if len(sids) > 1:
+                        yield done()
+                    which, sids, sets = c, [], []
+                if not sids or sids[-1] != sid:  # repeated rows
+                    sids.append(sid)
+                    sets.append(shingles(t.as_py() or b"", k))
+        if len(sids) > 1:
+            yield done()
+
+    found = texts.repartition(n, "component").sortWithinPartitions("component", "set_id").mapInArrow(compare, "node long, component long")
+    return rows.select("doc_id", "row", "set_id"), materialize(found)
+
+
+def dedup(docs: DataFrame, k: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row of each component of docs, with all its columns: that of the smallest doc_id, nulls last; of several rows with it, that of the smallest hash of the row.
 
-    Components are those of components(). A component follows from
+    Components are those of components(), or, with `similarity`, those of near_sets(). A component follows from
     the text alone, so rows that share a doc_id, null or not, fall away only where their texts are near copies.
     """
     ship(docs.sparkSession)
     hashed = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
     row, part = free_name(docs, "_row"), free_name(docs, "_part")
     docs = docs.withColumn(row, F.xxhash64(*hashed))
-    rows = materialize(_fingerprints(docs, k, row))
-    distinct = materialize(rows.select("fp").distinct())
-    found, node = connected_components(links(distinct, chain_length(distinct.count()))), "fp"
+    if similarity is None:
+        rows = materialize(_fingerprints(docs, k, row))
+        found = connected_components(links(materialize(rows.select("fp").distinct()), chain_length(rows.select("fp").distinct().count())))
+        node = "fp"
+    else:
+        rows, found = near_sets(docs, k, similarity, row)
+        node = "set_id"
     rows = rows.join(found.select(F.col("node").alias(node), "component"), node, "left")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     kept = rows.groupBy(F.coalesce("component", node).alias(part)).agg(F.min(order).alias("least"))

@@ -102,3 +102,33 @@ def test_dedup_keeps_rows_that_only_share_an_id(spark):
     kept = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.text, r.doc_id) for r in kept if r.doc_id is not None) == sorted([(texts[2], 3), (texts[3], 3), (texts[4], 8), (texts[5], 5)])
     assert sorted(r.text for r in kept if r.doc_id is None) == texts[:2]
+
+
+def test_near_sets_find_what_brute_force_finds(spark):
+    rng = np.random.default_rng(11)
+    docs = []
+    for _ in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(40, 400)))]
+        docs.append(base)
+        for _ in range(3):
+            own = list(base)
+            for at in rng.choice(len(own), max(1, int(len(own) * rng.uniform(0.005, 0.035))), replace=False):
+                own[at] = f"x{rng.integers(0, 10**6)}"
+            docs.append(own)
+    docs += [["w1", "w2"], ["W1", "w2"], ["w1", "w3"]]
+    sets = [{tuple(w.lower() for w in d[i : i + 5]) for i in range(max(1, len(d) - 4))} for d in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    want = [find(i) for i in range(len(docs))]
+    got = simhash.dedup(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), k=5, similarity=0.8).collect()
+    assert len(pairs) > 60 and sorted(r.doc_id for r in got) == sorted(set(want))
+    assert simhash.dedup(spark.createDataFrame([], "doc_id long, text string"), k=5, similarity=0.8).collect() == []
