@@ -450,7 +450,7 @@ def q_format_stars(spark, sf_dir):
 
 @query(None)
 def q_simulate(spark, sf_dir):
-    return make_choices(spark, 200, 10)[0]
+    return make_choices(spark)[0]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

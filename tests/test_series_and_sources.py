@@ -51,3 +51,10 @@ def test_levels_and_prep(spark):
     cs = q.choice_sets(spark, SF)
     assert prep.n_sets(cs, "sid") == 1473
     assert column_order(cs, ["y", "sid"]).columns[:2] == ["y", "sid"]
+
+
+def test_simulate_query_has_the_default_size(spark):
+    from choicekit.plans.queries import QUERIES
+
+    df = QUERIES["simulate"](spark, "")
+    assert df.count() == 5000 * 100 and df.filter("choice = 1").count() == 5000
