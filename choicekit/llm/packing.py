@@ -19,7 +19,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,9 @@ _SPACES = "\t-\r \x85\xa0"
 _TOKEN = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^{_SPACES}{_LETTERS}{_NUMBERS}]+".encode("latin-1"))
 _LOWER = bytes(ord(c) if len(c := chr(i).lower()) == 1 and ord(c) < 256 else i for i in range(256))
 _PURE = re.compile(f"[{_LETTERS}]+".encode("latin-1")).fullmatch
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Characters for bytes in vocabularies of byte-level tokenizers: printable ones stand for themselves, the others follow from 256 on.
+_BYTE = {b: chr(b) if b in _SHOWN else chr(256 + n) for n, b in enumerate([b for b in range(256) if b not in _SHOWN])} | {b: chr(b) for b in _SHOWN}
 #: ASCII separators that str.split() knows and the tokenizer doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -55,54 +57,42 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         self.words: dict = {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, missing: list) -> None:
-        if len(self.words) + len(missing) > CACHE_WORDS:
+    def _learn(self, word: bytes | str) -> bytes:
+        if isinstance(word, bytes) and _PURE(word):  # one token of the pre-tokenizer: the merges alone
+            text = word.decode("ascii") if word.isascii() else "".join(map(_BYTE.__getitem__, word.decode("latin-1").encode()))
+            ids = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        else:
+            ids = self._ids(word if isinstance(word, str) else word.decode("latin-1"))
+        if len(self.words) >= CACHE_WORDS:
             self.words.clear()
-        pure = [w for w in missing if isinstance(w, bytes) and _PURE(w)]
-        for at in range(0, len(pure), 4096):
-            some = pure[at : at + 4096]
-            ids = self._ids(b" ".join(some).decode("latin-1"))
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):
-                self.words |= {w: self._ids(w.decode("latin-1")).tobytes() for w in some}
-                continue
-            raw, start = ids.tobytes(), 0
-            for w, stop in zip(some, (stops * 4).tolist()):
-                self.words[w] = raw[start:stop]
-                start = stop
-        for w in missing:
-            if w not in self.words:
-                self.words[w] = self._ids(w if isinstance(w, str) else w.decode("latin-1")).tobytes()
+        self.words[word] = ids
+        return ids
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """For few texts at a time: all their words are in the cache together."""
-        cut: list = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                cut.append(None)
-                continue
-            try:
-                cut.append(_TOKEN.findall(text.encode("latin-1").translate(_LOWER)))
-            except UnicodeEncodeError:
-                cut.append(None if _ODD_SPACE.search(text) else text.split())
-        missing: set = set()
-        for words in cut:
-            if words:
-                missing.update(filterfalse(self.words.__contains__, words))
-        if missing:
-            if len(self.words) + len(missing) > CACHE_WORDS:
-                missing = set().union(*(c for c in cut if c))
-            self._learn(sorted(missing, key=lambda w: (isinstance(w, str), w)))
-        for text, words in zip(texts, cut):
-            yield self._ids(text).tobytes() if words is None else b"".join(map(self.words.__getitem__, words))
+        return map(self._text, texts)
+
+    def _text(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self._ids(text)
+        try:
+            words = _TOKEN.findall(text.encode("latin-1").translate(_LOWER))
+        except UnicodeEncodeError:
+            if _ODD_SPACE.search(text):
+                return self._ids(text)
+            words = text.split()
+        got = list(map(self.words.get, words))
+        at = -1
+        for _ in range(got.count(None)):
+            at = got.index(None, at + 1)
+            known = self.words.get(words[at])
+            got[at] = self._learn(words[at]) if known is None else known
+        return b"".join(got)
 
 
 _OPEN: dict[str, WordBpe] = {}
@@ -192,13 +182,20 @@ def place(rows: DataFrame, n_docs: int, *, capacity: int = CAPACITY, bucket_docs
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, now, packer = TaskContext.get().partitionId() << 40, None, SumOfSquares(capacity)
+        after = TaskContext.get().partitionId() << 40  # the next sequence that no piece is in
+        now, base, packer = None, after, None
         for batch in batches:
             seq, off = [], []
             for bucket, length in zip(batch.column(len(names)).to_pylist(), batch.column("length").to_pylist()):
+                if bucket < 0:
+                    seq.append(after)
+                    off.append(0)
+                    after += 1
+                    continue
                 if bucket != now:
-                    base, now, packer = base + packer.opened, bucket, SumOfSquares(capacity)
+                    now, base, packer = bucket, after, SumOfSquares(capacity)
                 at, offset = packer.place(length)
+                after = base + packer.opened
                 seq.append(base + at)
                 off.append(offset)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(seq, pa.int64()), pa.array(off, pa.int64())], [*names, "sequence_id", "offset"])
