@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from .functions.levels import MAX_LEVELS, is_categorical
 from .functions.tables import confint_rows, summary_text, tidy_rows
 from .operators import design as D
 from .operators import kernel, newton, sandwich
@@ -160,11 +159,7 @@ def fit_formula(
     D.check_columns(df, [*needed, *(order_by or [])])
     slim = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*needed, *(order_by or [])])])
     cases = D.complete_cases(slim, needed)
-    strings = [c for c in f.columns if c not in (levels or {}) and is_categorical(slim, c)]
-    n_all, n_kept, _, kinds = _counts(slim, needed, f.response, [F.approx_count_distinct(f"`{c}`") for c in strings])
-    for c, n in zip(strings, kinds):
-        if n > 2 * MAX_LEVELS:
-            raise ValueError(f"{c} has about {n} levels")
+    n_all, n_kept, _, _ = _counts(slim, needed, f.response, [])
     own = D.build(cases, f, levels)
     fit = fit_columns(cases, own.names, own.columns, own.terms, choice=f.response, stratum=stratum, cluster=cluster, offset=offset, order_by=order_by, drop_collinear=drop_collinear, scale=scale, max_iter=max_iter, tol=tol, compat=compat)
     fit.formula, fit.n_dropped_rows = formula, n_all - n_kept

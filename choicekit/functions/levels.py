@@ -24,9 +24,13 @@ def missing(df: DataFrame, name: str) -> Column:
 
 
 def distinct_levels(df: DataFrame, names: list[str], limit: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """Sorted distinct values of each column, in one pass; more than `limit` levels can't be a factor and raise an error."""
+    """Sorted distinct values of each column, in one pass after an estimate of their number; more than `limit` levels can't be a factor and raise an error."""
     if not names:
         return {}
+    about = df.agg(*(F.approx_count_distinct(F.col(f"`{n}`")) for n in names)).first()  # bounded, so no set of very many values is built
+    for n, count in zip(names, about):
+        if count > 2 * limit:
+            raise ValueError(f"{n} has about {count} levels")
     row = df.agg(*(F.slice(F.sort_array(F.collect_set(F.col(f"`{n}`"))), 1, limit + 1).alias(f"l{k}") for k, n in enumerate(names))).first()
     for n, levels in zip(names, row):
         if len(levels) > limit:

@@ -93,7 +93,9 @@ def task_sums(packed: DataFrame, columns: list[str], width: int, add: Callable[[
     sums = packed.select(*columns).mapInArrow(run, "task int, v array<double>")
     n = packed.rdd.getNumPartitions()
     if n > MANY_TASKS:
-        sums = sums.repartitionByRange(int(n**0.5), "task").sortWithinPartitions("task").mapInArrow(again, "task int, v array<double>")
+        some = int(n**0.5)  # neighbouring tasks go together by their ids: ranges would be sampled, and that runs the tasks twice
+        near = F.least((F.col("task") / F.lit(-(-n // some))).cast("int"), F.lit(some - 1))
+        sums = sums.repartitionById(some, near).sortWithinPartitions("task").mapInArrow(again, "task int, v array<double>")
     total = None
     for row in sorted(sums.collect(), key=lambda r: r.task):
         v = np.array(row.v)

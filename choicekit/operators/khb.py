@@ -62,13 +62,15 @@ def residual_coefficients(dm: DataFrame, x: list[str], z: list[str]) -> tuple[np
 
 def khb(
     df: DataFrame, *, key_vars: list[str], z_vars: list[str], controls: list[str] | None = None, stratum: str, cluster: str | None = None, choice: str = "choice", offset: str | None = None,
-    levels: dict[str, list[str]] | None = None, max_iter: int = 100, tol: float = 1e-6,
+    levels: dict[str, list[str]] | None = None, order_by: list[str] | None = None, max_iter: int = 100, tol: float = 1e-6, verbose: bool = False,
 ) -> KhbResult:
     """Decompose the effects of key_vars through z_vars.
 
     Mediators are demeaned within sets and regressed on the demeaned keys and controls; the reduced model has the residuals in
     place of the mediators, so both models have the same likelihood. Terms are column names; controls and
-    keys may be interactions `a:b`. Only complete cases are used.
+    keys may be interactions `a:b`; the rows of a term are those of its own columns, never of another term
+    whose name begins alike. Only complete cases are used. order_by: columns that order the rows of a set; needed where a
+    set has several clusters, of which its first row's counts. verbose: print what is being done.
     """
     from ..fit import fit_columns
 
@@ -76,9 +78,10 @@ def khb(
     if any(":" in z for z in z_vars):
         raise ValueError("mediators can't be interactions")
     plain = [c for t in [*key_vars, *controls] for c in t.split(":")]
-    D.check_columns(df, [*plain, *z_vars, choice, stratum, *(c for c in (cluster, offset) if c)])
+    D.check_columns(df, [*plain, *z_vars, choice, stratum, *(c for c in (cluster, offset) if c), *(order_by or [])])
+    say = print if verbose else (lambda *_: None)
     needed = list(dict.fromkeys([*plain, *z_vars, choice, stratum, *(c for c in (cluster, offset) if c)]))
-    cases = D.complete_cases(df.select(*[F.col(f"`{c}`") for c in needed]), needed)
+    cases = D.complete_cases(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*needed, *(order_by or [])])]), needed)
     require_one_chosen(cases, stratum, choice)
 
     terms = [tuple(t.split(":")) for t in [*key_vars, *controls]]
@@ -98,13 +101,15 @@ def khb(
             if coef[i, j]:
                 e = e - F.lit(float(coef[i, j])) * F.col(x)
         resid.append(e)
-    common = {"choice": choice, "stratum": stratum, "cluster": cluster, "offset": offset, "order_by": [stratum], "max_iter": max_iter, "tol": tol}
+    common = {"choice": choice, "stratum": stratum, "cluster": cluster, "offset": offset, "order_by": order_by, "max_iter": max_iter, "tol": tol}
     z_display = [n for _, n, _ in z_all]
     try:
         n_key = len(xc.names)
+        say(f"reduced model: {n_key} columns and {len(resid)} residuals")
         reduced = fit_columns(dm, [*xc.names, *(f"{safe_name(n)}_resid" for n in z_display)], [*xc.columns, *resid], [*xc.terms, *z_display], **common)
         # of a factor mediator the full model takes all levels but the first
         full_z = [(n, c, z) for z in z_vars for k, (own, n, c) in enumerate(t for t in z_all if t[0] == z) if not (z in factors and k == 0)]
+        say(f"full model: {n_key + len(full_z)} columns")
         full = fit_columns(cases, [*xc.names, *(n for n, _, _ in full_z)], [*xc.columns, *(c for _, c, _ in full_z)], [*xc.terms, *(z for _, _, z in full_z)], **common)
     except (ValueError, np.linalg.LinAlgError) as error:
         return KhbResult(False, error=str(error))

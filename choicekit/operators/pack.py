@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..workers import ship
 
@@ -17,11 +18,16 @@ from ..workers import ship
 def group_bounds(df: DataFrame, stratum: str) -> DataFrame:
     """stratum, size and the 0-based start of its run in the order of strata.
 
-    Starts need a total over all strata before: ranges of a hash-free key order would do at scale, but the
-    fits don't use them (a packed row knows its own size), so this stays a diagnostic.
+    Sets are dealt in ranges of their keys; a range's rows are summed, and what ranges before it have is added to
+    the running total inside it. One number per range is all that comes together in one place.
     """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("size"))
-    return sizes.withColumn("start", F.sum("size").over(W.orderBy(stratum)) - F.col("size"))
+    ranged = sizes.repartitionByRange(n, stratum).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    total = ranged.groupBy("_range").agg(F.sum("size").alias("_n"))
+    before = total.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.sum("size").over(W.partitionBy("_range").orderBy(stratum)) - F.col("size")
+    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").select(stratum, "size", (F.col("_before") + F.col("_inside")).alias("start"))
 
 
 def rows_of(df: DataFrame, *, stratum: str, y: Column, x: list[Column], offset: Column | None, cluster: str | None, order_by: list[str]) -> DataFrame:

@@ -10,6 +10,11 @@ def range_filter(df: DataFrame, column: str, low, high) -> DataFrame:
     return df.filter(F.col(column).between(low, high))
 
 
+def equal_filter(df: DataFrame, column: str, value) -> DataFrame:
+    """Rows with that value, without the column."""
+    return df.filter(F.col(column) == F.lit(value)).drop(column)
+
+
 def chosen_attribute(df: DataFrame, stratum: str, choice: str, column: str, order_by: list[str]) -> DataFrame:
     """stratum and the attribute of its first chosen row; only one row a set is shuffled on the way."""
     first = F.min(F.struct(*order_by, F.col(column).alias("_a")))

@@ -20,7 +20,6 @@ from ..operators import khb as K
 from ..operators import prep as P
 from ..operators import validate as V
 from ..operators.pack import group_bounds
-from ..sources.simulate import simulate as make_choices
 from .formula import parse
 from .oracle import chain
 from .series import run_series
@@ -448,12 +447,10 @@ def q_format_stars(spark, sf_dir):
     return T.formatted(fit4(spark, sf_dir).tidy(spark)).select("term", "stars")
 
 
-@query(None)
-def q_simulate(spark, sf_dir):
-    return make_choices(spark)[0]
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         return fit4(spark, sf_dir).tidy(spark)
+
+
+from . import more_queries  # noqa: E402, F401  (registers its queries with these)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..fit import fit_formula
 from ..functions.tables import append_dropped, with_metadata
@@ -35,7 +36,12 @@ def _levels(df: DataFrame, column: str | None, choice: str) -> list[str | None]:
 def run_series(df: DataFrame, specs: dict[str, str], *, group_col: str | None = None, subgroup_col: str | None = None, min_rows: int = 200, out: str | None = None, **options) -> DataFrame:
     """All specifications over all groups and, beside the whole group, its sub-groups of at least min_rows rows, as one table. With `out`, each model is written there and not fitted again."""
     spark = df.sparkSession
-    choice = parse(next(iter(specs.values()))).response
+    formulas = [parse(f) for f in specs.values()]
+    choice = formulas[0].response
+    named = [options.get(o) for o in ("stratum", "cluster", "offset")]
+    needed = [choice, group_col, subgroup_col, *named, *(c for f in formulas for c in f.columns), *(options.get("order_by") or [])]
+    # every model reads these columns again and again, so what makes them runs once
+    df = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys(c for c in needed if c in df.columns)]).persist(StorageLevel.MEMORY_AND_DISK)
     tables = []
     for group in _levels(df, group_col, choice):
         own = df if group is None else df.filter(F.col(group_col) == group)
@@ -47,6 +53,7 @@ def run_series(df: DataFrame, specs: dict[str, str], *, group_col: str | None =
                 names = {"label": label, "group": str(group) if group is not None else "all", "subgroup": str(sub) if sub is not None else "all"}
                 path = f"{out}/{names['group']}-{names['subgroup']}-{label}" if out else None
                 tables.append(resumable(spark, path, lambda p=part, f=formula, n=names: model_table(p, f, **n, **options)))
+    df.unpersist()
     return union_all(tables)
 
 

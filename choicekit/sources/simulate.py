@@ -15,7 +15,8 @@ _POISSON = (0.7408182206817179, 0.9630636868862332, 0.9964005068169105, 0.999734
 
 def _uniform(seed: int, *key: Column) -> Column:
     """A uniform draw in (0, 1) that depends on seed and key only, so that a lost partition comes back the same."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in key)).cast("binary")), 1, 13)
+    return (F.conv(digits, 16, 10).cast("long").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def _normal(seed: int, *key: Column) -> Column:

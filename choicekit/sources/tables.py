@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,13 @@ def write_table(table: DataFrame, path: str, fmt: str = "csv") -> None:
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, else in the warehouse."""
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a finished output (with its _SUCCESS mark) stands at path."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

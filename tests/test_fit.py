@@ -8,7 +8,7 @@ import pytest
 
 from choicekit.fit import ClogitFit, fit_formula, fit_matrix
 from choicekit.functions.tables import append_dropped, formatted, with_metadata
-from choicekit.operators import design, kernel
+from choicekit.operators import design, kernel, newton
 from choicekit.operators.pack import pack, rows_of
 from choicekit.plans import queries as q
 from choicekit.sources.simulate import simulate
@@ -181,3 +181,40 @@ def test_recovery(spark):
     assert fit.converged and all(abs(fit.coef[n] - b) < 3.5 * s for (n, b), s in zip(truth.items(), fit.se()))
     same = simulate(spark, 1500, 25, cluster_ratio=1.3, seed=3)[0]
     assert same.repartition(3).exceptAll(df).count() == 0
+
+
+def test_many_tasks_are_evaluated_once(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(kernel, "MANY_TASKS", 2)
+    seen = str(tmp_path / "seen")
+
+    def add(batch):
+        with open(seen, "a") as f:
+            f.write(f"{batch.num_rows}\n")
+        return np.array([batch.column(0).to_numpy().sum()])
+
+    df = spark.range(0, 1000, 1, 9).selectExpr("cast(id as double) as x")
+    assert kernel.task_sums(df, ["x"], 1, add)[0] == 499500
+    assert sum(map(int, open(seen))) == 1000
+
+
+def test_halving_and_convergence(spark, monkeypatch):
+    calls = []
+    real = kernel.logliks
+    monkeypatch.setattr(kernel, "logliks", lambda *a, **k: calls.append(1) or real(*a, **k))
+    df, _ = simulate(spark, 200, 10, use_offset=False)
+    df = df.withColumn("far", 30 * F.col("n_years_same_uni"))
+    terms = ["lnDist", "n_years_same_uni"]
+    near = fit_matrix(df, terms, choice="choice", stratum="strata_id")
+    assert not calls
+    far = fit_matrix(df, terms, choice="choice", stratum="strata_id", offset="far", max_iter=100)
+    assert calls and far.converged and np.allclose(far.beta + [0, 30], near.beta, atol=1e-5)
+    with pytest.warns(UserWarning, match="did not converge in 1 iterations"):
+        assert not fit_matrix(df, terms, choice="choice", stratum="strata_id", max_iter=1).converged
+
+
+def test_solve_falls_back_and_standstill_converges(monkeypatch):
+    assert np.allclose(newton._solve(np.diag([1.0, -1e-6]), np.ones(2)), [1 / (1 + 1e-4), 1 / (1e-4 - 1e-6)], rtol=1e-3)
+    assert newton._solve(np.diag([1.0, -1.0]), np.ones(2)) is None
+    monkeypatch.setattr(kernel, "evaluate", lambda *a, **k: (-5.0, np.ones(1), np.eye(1)))
+    best = newton.maximise(None, 1, kernel.Columns(np.arange(1), None))
+    assert best.converged and best.iterations == 6 + 1
