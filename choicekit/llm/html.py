@@ -21,6 +21,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -34,95 +35,133 @@ from .common import ship
 PATH_DIM, WORD_DIM, STATS, HIDDEN = 256, 64, 6, 16
 PAGES, EPOCHS, SEED, BATCH_CHARS = 2400, 7, 5, 1 << 20
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: What follows a tag's name, up to its end: a quote counts after an equals sign, and only if it is closed.
+_TAG_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+>""")
 _NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME_WORD = re.compile(r"[a-z]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_CLOSING = {name: re.compile(f"</{name}[\\s/>]", re.I) for name in RAW}
 #: Elements whose text is never shown as text.
 HIDDEN_TEXT = frozenset("head script style textarea title iframe noembed noframes noscript template svg math object canvas audio video select datalist xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title noframes".split())
+#: Open elements of a path, counted from the innermost one, that a block's vector looks at.
+PATH_DEPTH = 256
 _NO_P = frozenset("button caption td th".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select", "datalist"})}
 
 
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters inside links) of each block that has text; path: one `tag class-and-id-words` string per open element."""
+    """(path, text, characters inside links) of each block that has text; path: one `tag class-and-id-words` string per open element.
+
+    One pass. Omitted end tags are those of HTML: what can't be in a head ends it, also where its tag is left out.
+    `<!...>`, `<?...>` and CDATA sections are comments. A quote that is never closed is no quote; where quotes leave a tag without an
+    end, it and all tags after it are read without quotes. A comment that the page ends in is dropped, a tag that it ends in is text.
+    """
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
     links = hidden = linked = at = 0
+    quotes, last = True, html.rfind(">")
 
     def flush() -> None:
         nonlocal linked
         if text:
             if whole := " ".join(unescape("".join(text)).split()):
-                out.append((tuple(x for _, x in stack), whole, linked))
+                out.append((tuple(x for _, x in stack[-PATH_DEPTH:]), whole, linked))
             text.clear()
         linked = 0
 
-    def pop() -> None:
+    def pop_to(k: int) -> None:
         nonlocal hidden
-        hidden -= stack.pop()[0] in HIDDEN_TEXT
+        while len(stack) > k:
+            name = stack.pop()[0]
+            hidden -= name in HIDDEN_TEXT
+            opened[name] -= 1
+
+    def innermost(names: set[str], walls: frozenset | set) -> None:
+        """Close the innermost open element of names, unless one of walls is nearer."""
+        if not any(opened[x] for x in names):
+            return
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in walls:
+                return
+            if stack[k][0] in names:
+                return pop_to(k)
 
     end = len(html)
     while at < end:
-        m = _TAG.search(html, at)
-        stop = m.start() if m else end
-        if stop > at and not hidden:
-            text.append(html[at:stop])
-            if links:
-                linked += stop - at
-        if not m:
+        start = html.find("<", at)
+        m = None
+        while start >= 0:
+            two = html[start + 1 : start + 2]
+            if two in ("!", "?") or (m := _TAG_NAME.match(html, start + 1 + (two == "/"))):
+                break
+            start = html.find("<", start + 1)
+        stop = end if start < 0 else start
+        if stop > at:
+            if stack and stack[-1][0] == "head" and not html[at:stop].isspace():
+                pop_to(len(stack) - 1)
+            if not hidden:
+                text.append(html[at:stop])
+                if links:
+                    linked += stop - at
+        if start < 0:
             break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA[") and not hidden:
-                text.append(m[0][9:-3].replace("&", "&amp;"))
+        if m is None:
+            if html.startswith("<!--", start):
+                close = start + 4 if html.startswith((">", "->"), start + 4) else html.find("-->", start + 4)
+            else:
+                close = start
+            at = html.find(">", close) + 1 if close >= 0 and start < last else 0
+            if not at:
+                break
             continue
-        if m[1] or m[4]:
+        if start > last:  # a tag that never ends is text
+            if not hidden:
+                text.append(html[start:])
+            break
+        name, attributes = m[0].lower(), ""
+        if two == "/":
+            at = html.find(">", m.end()) + 1
+        else:
+            rest = _TAG_REST.match(html, m.end()) if quotes else None
+            quotes = rest is not None
+            at = rest.end() if rest else html.find(">", m.end()) + 1
+            attributes = html[m.end() : at - 1]
+        if not at:
+            break
+        if two == "/":
             if name == "a":
                 links = max(0, links - 1)
             elif name == "br":
                 text.append(" ")
             elif name in BLOCK or name in HIDDEN_TEXT:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        while len(stack) > k:
-                            pop()
-                        break
+                innermost({name}, frozenset())
             continue
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            flush()
+            pop_to(len(stack) - 1)
         if name in BLOCK or name in HIDDEN_TEXT:
             flush()
             links = 0
             if name in _CLOSES:
-                ends, walls = _CLOSES[name]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in walls:
-                        break
-                    if stack[k][0] in ends:
-                        while len(stack) > k:
-                            pop()
-                        break
+                innermost(*_CLOSES[name])
             if name in BLOCK and name not in ("option", "optgroup"):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in _NO_P:
-                        break
-                    if stack[k][0] == "p":
-                        while len(stack) > k:
-                            pop()
-                        break
+                innermost({"p"}, _NO_P)
             if name in VOID:
                 continue
-            attributes = m[3] or m[6] or ""
             if name in RAW and not attributes.rstrip().endswith("/"):
-                close = re.compile(f"</{name}[\\s/>]", re.I).search(html, at)
+                close = _CLOSING[name].search(html, at)
                 at = html.find(">", close.start()) + 1 or end if close else end
                 continue
             if name in ("svg", "math", "object", "canvas", "audio", "video") and attributes.rstrip().endswith("/"):
@@ -133,6 +172,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                 found = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
                 words = " ".join(_NAME_WORD.findall(_CAMEL.sub("-", found).lower()))
             stack.append((name, f"{name} {words}" if words else name))
+            opened[name] += 1
         elif name == "a":
             links += 1
         elif name == "br":

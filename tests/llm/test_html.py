@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 
 from choicekit.llm import html
@@ -21,6 +23,26 @@ def test_blocks():
     assert texts("x<script>never closed <p>y") == ["x"] and texts("&lt;p&gt;no tag") == ["<p>no tag"]
 
 
+def test_omitted_tags_and_comments():
+    assert texts("<html><head><title>x</title><body><article><p>Text.") == ["Text."]
+    assert texts("<head><meta charset=x><p>Text.</head>more") == ["Text.", "more"] and texts("<head><title>t</title>loose") == ["loose"]
+    assert texts("<head><link><script>s</script><style>t</style></head><p>a") == ["a"]
+    assert texts("<p>a<![CDATA[ no ]]>b") == ["ab"] and texts("<p>a<![CDATA[abcdef") == ["a"] and texts("<!-->a<!--->b<?php c ?>d") == ["abd"]
+    assert texts("<p title='a>b'>c</p><p title=\"x>d</p>e") == ["c", "d", "e"] and texts("<p it's>a</p><p>b's") == ["a", "b's"]
+    assert texts("<ul><li>1<ul><li>2</ul><li>3</ul><table><tr><td>4<tr><td>5") == ["1", "2", "3", "4", "5"]
+
+
+def test_time_is_linear():
+    for piece in ("<b x='", '<a ">" ', "<a x=\">", "<!", "<![CDATA[", "<", "</", "&#", "<a =' ", "<p ='>\"", "<!-- -"):
+        began = time.perf_counter()
+        html.blocks(piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 20, piece
+    for page in ("<div>" * 80_000 + "</section>" * 60_000, "<div>x" * 100_000, "<ul><li>x" * 60_000):
+        began = time.perf_counter()
+        html.blocks(page)
+        assert time.perf_counter() - began < 60, page[:20]
+
+
 def test_gradient():
     net = html.BiLstm(0)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
