@@ -1,9 +1,10 @@
 r"""Quality rules as a short-circuit cascade; DataFrame functions only.
 
-A rule is a condition under which a document goes; rules read the column text. On a sample of at most `sample_rows` rows every rule's
-cost (seconds) and selectivity (rows it rejects) are measured; the cascade then is one CASE expression with
-the rules in order of rejections per cost, so that a row pays for a rule only if all before it let it pass.
-The order changes what is paid, never what is kept: the verdict is that no rule rejects.
+A rule is a condition under which a document goes; rules read the column text, or what is measured of it already. On a sample of about
+`sample_rows` rows of the whole table every rule's cost is timed, on as many copies of the sample as make the time stand out, and the rows it rejects are
+noted. The cascade then is one CASE expression: first the rule with most rejections per cost, next the one with most
+among the rows that are left, and so on, so that a row pays for a rule only if all before it let it pass. Costs count in
+powers of two, so reruns agree. The order changes what is paid, never what is kept: the verdict is that no rule rejects.
 
 Everything about a text is computed within its row: no shuffle, no explode. Repeated three-word windows are
 found by sorting (hash of the window, position) as plain longs and comparing neighbours, word by word where
@@ -15,6 +16,7 @@ verdict. An empty table gives no rows. Extra columns are kept by filter() and dr
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import WORD, words_of
 
 SYMBOLS, SAMPLE_ROWS, SEED = "[#*$%&|<>]", 1000, 3
-#: Of every partition that is read for the sample, the share of rows taken; rows of more characters are no use for it.
-SAMPLE_SHARE, SAMPLE_CHARS = 0.05, 1_000_000
+#: Rows of more characters are no use for the sample; characters that a rule is timed on.
+SAMPLE_CHARS, TIMED_CHARS = 1_000_000, 4_000_000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -101,37 +103,68 @@ def base_rules(text: Column) -> list[Rule]:
     ]
 
 
-def text_rules(text: Column) -> list[Rule]:
-    """The rules of the method: symbols, long or short words, repeated lines, letters and capitals."""
+def measured(text: Column) -> dict[str, Column]:
+    """What rules read of a text besides the text itself."""
+    return {
+        "n_words": n_words(text), "word_chars": word_chars(text), "n_symbols": n_matching(text, SYMBOLS),
+        "n_lines": let(lines_of(text), lambda x: F.size(x).cast("long")), "n_dup_lines": let(lines_of(text), n_dup_lines),
+    }
+
+
+def text_rules(text: Column, known: dict[str, Column] | None = None) -> list[Rule]:
+    """The rules of the method: symbols, long or short words, repeated lines, letters and capitals. known: columns that hold measured()."""
+    m = known or measured(text)
+    lines = 100 * m["n_dup_lines"] > 40 * m["n_lines"] if known else let(lines_of(text), lambda x: 100 * n_dup_lines(x) > 40 * F.size(x))
     return [
-        Rule("symbols", 10 * n_matching(text, SYMBOLS) > n_words(text)),
-        Rule("word_length", let(n_words(text), lambda n: let(word_chars(text), lambda c: (c < 2 * n) | (c > 14 * n)))),
-        Rule("dup_lines", let(lines_of(text), lambda x: 100 * n_dup_lines(x) > 40 * F.size(x))),
-        Rule("letters", let(F.regexp_replace(_raw(text), r"[^\p{L}]+", ""), lambda x: 100 * F.length(x) < 60 * word_chars(text))),
+        Rule("symbols", 10 * m["n_symbols"] > m["n_words"]),
+        Rule("word_length", let(m["n_words"], lambda n: let(m["word_chars"], lambda c: (c < 2 * n) | (c > 14 * n)))),
+        Rule("dup_lines", lines),
+        Rule("letters", 100 * n_matching(text, r"[\p{L}]") < 60 * m["word_chars"]),
         Rule("capitals", let(F.regexp_replace(_raw(text), r"[^\p{L}]+", ""), lambda x: 100 * F.length(F.regexp_replace(x, r"[^\p{Lu}]+", "")) > 40 * F.length(x))),
     ]
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], *, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> list[Rule]:
-    """rules by rejections per cost on a sample of docs, best first."""
-    # limit() under collect() reads partitions until it has enough, not the whole table; what it brings is bounded in rows and bytes
-    texts = docs.select("text").sample(SAMPLE_SHARE, seed).filter(F.coalesce(F.length("text"), F.lit(0)) < SAMPLE_CHARS).limit(sample_rows).collect()
-    sample = docs.sparkSession.createDataFrame([(r.text,) for r in texts], "text string").coalesce(1)
-
-    def timed(*columns: Column) -> tuple[float, list[int]]:
-        best, row = float("inf"), None
+def cascade(rejected: list[list[bool]], costs: list[float]) -> list[int]:
+    """An order of rules: always the one with most rejections per cost among the rows that are left (costs as powers of two; ties keep the given order)."""
+    left, rest, out = rejected, list(range(len(costs))), []
+    while rest:
+        best = max(rest, key=lambda k: (sum(row[k] for row in left) / 2.0 ** round(math.log2(costs[k])), -k))
+        out.append(best)
+        rest.remove(best)
+        left = [row for row in left if not row[best]]
+    return out
+
+
+def order_rules(docs: DataFrame, rules: list[Rule], *, sample_rows: int = SAMPLE_ROWS, seed: int = SEED, prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> list[Rule]:
+    """rules, which read columns of prepare(docs), in the order of cascade() on a sample of docs."""
+    n = docs.count()
+    if not n:
+        return rules
+    # the sample is bounded in rows and bytes, and comes from all partitions
+    share = min(1.0, 1.1 * sample_rows / n + 8 / n)
+    texts = docs.select("text").sample(share, seed).filter(F.coalesce(F.length("text"), F.lit(0)) < SAMPLE_CHARS).limit(sample_rows).collect()
+    chars = sum(len(r.text or "") for r in texts)
+    plain = docs.sparkSession.createDataFrame([(r.text,) for r in texts], "text string")
+    own = prepare(plain).collect()
+    if not own:
+        return rules
+    held = docs.sparkSession.createDataFrame(own, prepare(plain).schema).coalesce(1)
+    rejected = [list(r[0]) for r in held.select(F.array(*(F.coalesce(x.rejects, F.lit(False)) for x in rules))).collect()]
+    many = held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(max(1, min(1000, TIMED_CHARS // max(chars, 1)))))))
+    # that a copy counts keeps Spark from computing a rule once for all copies
+    varied = many.withColumn("text", F.concat(_raw(F.col("text")), F.when(F.col("_copy") < 0, F.lit("x")).otherwise(F.lit(""))))
+
+    def timed(column: Column) -> float:
+        best = float("inf")
         for _ in range(2):
             began = time.perf_counter()
-            row = sample.agg(F.count(F.lit(1)), *columns).first()
+            varied.agg(F.max(F.length("text")), column).first()
             best = min(best, time.perf_counter() - began)
-        return best, list(row[1:])
+        return best
 
-    floor, _ = timed(F.max(F.length("text")))
-    found = []
-    for k, rule in enumerate(rules):
-        cost, (rejected,) = timed(F.count_if(rule.rejects))
-        found.append((-rejected / max(cost - floor, 1e-3), k))
-    return [rules[k] for _, k in sorted(found)]
+    floor = timed(F.count(F.lit(1)))
+    costs = [max(timed(F.count_if(x.rejects)) - floor, 0.02) for x in rules]
+    return [rules[k] for k in cascade(rejected, costs)]
 
 
 def passes(rules: list[Rule]) -> Column:
@@ -151,15 +184,18 @@ def filter(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 def measure(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept of every row."""
     text = F.col("text")
-    rules = order_rules(docs, text_rules(text), sample_rows=sample_rows)
-    rows = docs.select("doc_id", "text", words_of(text).alias("w"), lines_of(text).alias("l"))
-    rows = rows.select(
-        "doc_id", "text", F.size("w").cast("long").alias("n_words"), word_chars(text).alias("word_chars"), n_matching(text, SYMBOLS).alias("n_symbols"),
-        n_dup_lines(F.col("l")).alias("n_dup_lines"), n_repeat_words(F.col("w")).alias("n_repeat_words"),
-    )
+
+    def columns(df: DataFrame, *kept: str) -> DataFrame:
+        rows = df.select(*kept, "text", words_of(text).alias("w"), lines_of(text).alias("l"))
+        return rows.select(
+            *kept, "text", F.size("w").cast("long").alias("n_words"), word_chars(text).alias("word_chars"), n_matching(text, SYMBOLS).alias("n_symbols"),
+            F.size("l").cast("long").alias("n_lines"), n_dup_lines(F.col("l")).alias("n_dup_lines"), n_repeat_words(F.col("w")).alias("n_repeat_words"),
+        )
+
+    rules = order_rules(docs, text_rules(text, {c: F.col(c) for c in measured(text)}), sample_rows=sample_rows, prepare=columns)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
-    return rows.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(passes(rules))).drop("text")
+    rows = columns(docs, "doc_id").withColumn("base_failed", failed)
+    return rows.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(passes(rules))).drop("text", "n_lines")
 
 
 ORACLE = r"""

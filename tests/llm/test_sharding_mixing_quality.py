@@ -144,3 +144,20 @@ def test_rule_order(spark):
         assert df.filter(quality.passes(order)).count() == 250
     bomb = quality.Rule("bomb", F.raise_error(F.lit("evaluated")).cast("boolean"))
     assert df.filter(quality.passes([quality.Rule("all", F.lit(True) & (F.col("doc_id") >= 0)), bomb])).count() == 0
+
+
+def test_cascade():
+    """Rejections per cost among the rows that are left, costs as powers of two, ties in the given order."""
+    rejected = [[True, True, False]] * 6 + [[False, False, True]] * 2 + [[False, True, False]]
+    assert quality.cascade(rejected, [1.0, 1.0, 1.0]) == [1, 2, 0]  # after 1 nothing is left for 0
+    assert quality.cascade(rejected, [1.0, 8.0, 1.0]) == [0, 2, 1]
+    assert quality.cascade(rejected, [1.0, 1.1, 0.9]) == [1, 2, 0] and quality.cascade([], [1.0, 2.0]) == [0, 1]
+
+
+def test_rule_order_is_that_of_costs(spark):
+    """Of rules that reject the same rows the cheap one comes first, in every run, wherever they stand."""
+    df = spark.createDataFrame([(i, f"w{i % 97} " * 600 if i % 2 else "x") for i in range(400)], "doc_id long, text string").repartition(5)
+    cheap = quality.Rule("cheap", F.length("text") < 5)
+    dear = quality.Rule("dear", (F.length(F.regexp_replace("text", r"[^\p{L}]+", "")) < 5) & (F.size(quality.words_of(F.col("text"))) < 3))
+    for rules in ([cheap, dear], [dear, cheap], [dear, cheap]):
+        assert [r.name for r in quality.order_rules(df, rules)] == ["cheap", "dear"]
