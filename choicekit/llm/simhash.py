@@ -10,6 +10,7 @@ in the first 3 segments of such a chain 2 are equal, in the first 5 three, in th
 first among them. Those equal segments are the keys (16, 24 or 32 bits, 16 to 70 keys a fingerprint, chosen by
 the number of fingerprints so that chance meetings stay few), and of two fingerprints that share a key only
 those whose chain keeps its budgets all the way round are linked; the last budget is the full Hamming check.
+near_sets() takes the same ring at 6 bits, where 2 of the first 5 segments are equal, besides min-hash keys.
 
 Scale: only distinct fingerprints meet, so copies cost nothing. No pair table exists: a task reads the
 fingerprints of a key in a row and emits a spanning forest of their links, at most 32 edges a
@@ -36,7 +37,6 @@ from .common import free_name, materialize, partitions, ship
 from .components import connected_components
 
 SHINGLE, SEED, DISTANCE, SEGMENTS = 4, 42, 4, 8
-BUDGET = np.arange(1, SEGMENTS + 1) * DISTANCE // SEGMENTS
 #: Runs up to this length are compared pair by pair, longer ones are searched.
 SHORT = 32
 
@@ -86,10 +86,12 @@ def _fingerprints(docs: DataFrame, k: int, row: str) -> DataFrame:
     return docs.select("doc_id", F.col(row).alias("row"), F.encode("text", "utf-8").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, fp long")
 
 
-def chain_keys(length: int) -> list[tuple[int, int]]:
-    """(start, mask) of the segment sets that the first `length` (3, 5 or 7) segments of a chain have in common: the first, and enough of the rest for every budget."""
+def chain_keys(length: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
+    """(start, mask) of the segment sets that the first `length` segments (for 4 bits 3, 5 or 7) of a chain have in common: the first, and enough of the rest for every budget. `distance` is below SEGMENTS."""
     sets = [(0,)]
-    for upto in range(3, length + 1, 2):
+    for upto in range(2, length + 1):
+        if upto - upto * distance // SEGMENTS == len(sets[0]):
+            continue
         sets = sorted({tuple(sorted({*s, e})) for s in sets for e in range(1, upto) if e not in s})
     out, seen = [], set()
     for start in range(SEGMENTS):
@@ -106,11 +108,11 @@ def chain_length(n: int) -> int:
     return 3 if n <= 1 << 22 else 5 if n <= 1 << 29 else 7
 
 
-def near(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+def near(x: np.ndarray, start: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """Which differences x (uint64) keep the budgets of the whole ring from segment `start` on; the last one is the Hamming distance."""
     ones = np.bitwise_count(x.astype("<u8").view(np.uint8).reshape(-1, SEGMENTS)).astype(np.int64)
     turned = np.take_along_axis(ones, (start[:, None] + np.arange(SEGMENTS)) % SEGMENTS, axis=1)
-    return (np.cumsum(turned, axis=1) <= BUDGET).all(axis=1)
+    return (np.cumsum(turned, axis=1) <= np.arange(1, SEGMENTS + 1) * distance // SEGMENTS).all(axis=1)
 
 
 def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -129,14 +131,14 @@ def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     return out
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links(keys: np.ndarray, fps: np.ndarray, starts: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges among whole runs of equal keys; the low byte of a key is the number of its segment set."""
     a, b = [], []
     edges = np.flatnonzero(np.diff(keys)) + 1
     begin, size = np.concatenate([[0], edges]), np.diff(np.concatenate([[0], edges, [len(keys)]]))
     for at, n in zip(begin[size > SHORT].tolist(), size[size > SHORT].tolist()):
         own = fps[at : at + n]
-        found = np.array(forest(own), np.int64).reshape(-1, 2)
+        found = np.array(forest(own, distance), np.int64).reshape(-1, 2)
         a.append(own[found[:, 0]])
         b.append(own[found[:, 1]])
     short = np.repeat(size <= SHORT, size)
@@ -146,22 +148,22 @@ def _links(keys: np.ndarray, fps: np.ndarray, starts: np.ndarray) -> tuple[np.nd
         if not len(i):
             break
         x = fps[i] ^ fps[i + d]
-        i = i[near(x, starts[(keys[i] & 0xFF).astype(np.int64)])]
+        i = i[near(x, starts[(keys[i] & 0xFF).astype(np.int64)], distance)]
         a.append(fps[i])
         b.append(fps[i + d])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.uint64),) * 2
 
 
-def links(fps: DataFrame, length: int) -> DataFrame:
+def links(fps: DataFrame, length: int, distance: int = DISTANCE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints fp whose components are those of all pairs within the distance."""
-    keys = chain_keys(length)
+    keys = chain_keys(length, distance)
     start_of = np.array([s for s, _ in keys], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
 
         def out(k, f):
-            x, y = _links(k, f, start_of)
+            x, y = _links(k, f, start_of, distance)
             return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
 
         for batch in batches:
@@ -198,6 +200,8 @@ def _components(rows: DataFrame) -> DataFrame:
     return rows.join(materialize(of), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+#: Differing bits up to which near_sets() links fingerprints by the ring; the first 5 segments of a chain have 2 equal ones (32 keys of 16 bits).
+RING, RING_LENGTH = 6, 5
 #: Keys of near_sets(): BANDS groups of ROWS min-hashes. A pair of likeness 0.8 shares no key once in 38,000.
 BANDS, ROWS = 20, 4
 #: Differing bits up to which fingerprints that share a key are looked at: pairs of likeness 0.8 differ in 10, unrelated ones in 32.
@@ -265,8 +269,9 @@ def alike(sets: list[np.ndarray], fps: np.ndarray, similarity: float) -> list[tu
 def near_sets(docs: DataFrame, k: int, similarity: float, row: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, set_id of each row; node, component of the sets that have one of exact Jaccard likeness `similarity` or more).
 
-    At such likeness fingerprints are too far apart for segments to be equal, so sets meet by min-hash keys. Those
-    that meet within WIDE bits form rough components; each is read by one task, which compares the shingle sets.
+    Sets meet by the ring, as in components(), where their fingerprints differ in RING bits at most. At likeness 0.8 many differ
+    in more, too many for segments to be equal, so all sets meet by min-hash keys as well, within WIDE bits.
+    Those that meet form rough components; each is read by one task, which compares the shingle sets.
     """
     kind = dict(docs.dtypes)["doc_id"]
     text = F.encode("text", "utf-8").alias("text")
@@ -316,7 +321,14 @@ def near_sets(docs: DataFrame, k: int, similarity: float, row: str) -> tuple[Dat
 
     n = partitions(docs.sparkSession)
     edges = distinct.select(F.explode("keys").alias("key"), "set_id", "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
-    rough = connected_components(edges)
+    heads = materialize(distinct.filter("size(keys) > 0").select("set_id", "fp"))
+    leads = materialize(heads.groupBy("fp").agg(F.min("set_id").alias("lead")))
+    equal = heads.join(leads, "fp").select(F.col("set_id").alias("a"), F.col("lead").alias("b"))
+    ring = links(leads.select("fp"), RING_LENGTH, RING)
+    for end in ("a", "b"):
+        ring = ring.join(leads.select(F.col("fp").alias(end), F.col("lead").alias(f"_{end}")), end)
+    ring = ring.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    rough = connected_components(edges.union(ring).union(equal))
     members = rough.union(rough.select("component", "component").distinct())
     asked = materialize(members.join(first, members["node"] == first["set_id"]).select("component", "set_id", F.col("row").alias("_row_of")))
     texts = docs.join(asked, docs[row] == asked["_row_of"]).select("component", "set_id", text)

@@ -132,3 +132,37 @@ def test_near_sets_find_what_brute_force_finds(spark):
     got = simhash.dedup(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), k=5, similarity=0.8).collect()
     assert len(pairs) > 60 and sorted(r.doc_id for r in got) == sorted(set(want))
     assert simhash.dedup(spark.createDataFrame([], "doc_id long, text string"), k=5, similarity=0.8).collect() == []
+
+
+def test_near_sets_meet_by_the_ring(spark, monkeypatch):
+    """The ring's step at its wider distance is part of the near-dedup stage, and joins all that differ in so few bits."""
+    rng = np.random.default_rng(3)
+    fps = {int(x) for x in rng.integers(0, 1 << 63, 60)}
+    for x in list(fps):
+        for _ in range(4):
+            y = x
+            for b in rng.choice(64, rng.integers(1, 9), replace=False):
+                y ^= 1 << int(b)
+            fps.add(y)
+    ids = [signed(x) for x in sorted(fps)]
+    got = {r.node: r.component for r in connected_components(simhash.links(spark.createDataFrame([(i,) for i in ids], "fp long"), simhash.RING_LENGTH, simhash.RING)).collect()}
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in ids:
+        for j in ids:
+            if ((i ^ j) & (1 << 64) - 1).bit_count() <= simhash.RING:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert {i: got.get(i, i) for i in ids} == {i: find(i) for i in ids} and len(got) > 60
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 900)]
+    docs = [(0, " ".join(words[:300])), (1, " ".join([*words[:150], "changed", *words[151:300]])), (2, " ".join(words[300:600])), (3, " ".join(words[600:]))]
+    called, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, *how: called.append((sorted(r.fp for r in fps.collect()), how)) or links(fps, *how))
+    kept = simhash.dedup(spark.createDataFrame(docs, "doc_id long, text string"), k=5, similarity=0.8).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2, 3]
+    assert called == [(sorted(simhash.sketch(simhash.shingles(t.encode(), 5))[1] for _, t in docs), (simhash.RING_LENGTH, simhash.RING))]
