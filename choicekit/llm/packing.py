@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, ship
+from .common import lean, partitions, ship
 
 CAPACITY, END_ID, BUCKET_DOCS = 4096, 1, 8192
 #: Entries of a worker's word cache; about 200 bytes each.
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, en
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), schema)
 
 
 class SumOfSquares:
@@ -207,7 +207,7 @@ def place(rows: DataFrame, n_docs: int, *, capacity: int = CAPACITY, bucket_docs
         rows.withColumn("_bucket", bucket)
         .repartition(n, "_bucket")
         .sortWithinPartitions("_bucket", F.desc("length"), "doc_id", "piece")
-        .mapInArrow(fill, schema)
+        .mapInArrow(lean(fill), schema)
     )
 
 

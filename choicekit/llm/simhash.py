@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, partitions, ship
+from .common import free_name, lean, materialize, partitions, ship
 from .components import connected_components
 
 SHINGLE, SEED, DISTANCE, SEGMENTS = 4, 42, 4, 8
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py() or b"", k) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", F.encode("text", "utf-8").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return docs.select("doc_id", F.encode("text", "utf-8").alias("text")).mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
 def _fingerprints(docs: DataFrame, k: int, row: str) -> DataFrame:
@@ -83,7 +83,7 @@ def _fingerprints(docs: DataFrame, k: int, row: str) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py() or b"", k) for t in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
 
-    return docs.select("doc_id", F.col(row).alias("row"), F.encode("text", "utf-8").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, fp long")
+    return docs.select("doc_id", F.col(row).alias("row"), F.encode("text", "utf-8").alias("text")).mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, row long, fp long")
 
 
 def chain_keys(length: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -179,7 +179,7 @@ def links(fps: DataFrame, length: int, distance: int = DISTANCE) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for _, m in keys]
     tagged = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))).bitwiseAND(F.lit(-256)).bitwiseOR(F.lit(i)) for i, m in enumerate(signed)))
     n = partitions(fps.sparkSession)
-    return fps.select(F.explode(tagged).alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return fps.select(F.explode(tagged).alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(run), "a long, b long")
 
 
 def components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -282,7 +282,7 @@ def near_sets(docs: DataFrame, k: int, similarity: float, row: str) -> tuple[Dat
             cols = [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "row", "set_id", "fp", "keys"])
 
-    rows = materialize(docs.select("doc_id", F.col(row).alias("row"), text).mapInArrow(sketches, f"doc_id {kind}, row long, set_id long, fp long, keys array<long>"))
+    rows = materialize(docs.select("doc_id", F.col(row).alias("row"), text).mapInArrow(lean(sketches), f"doc_id {kind}, row long, set_id long, fp long, keys array<long>"))
     first = rows.groupBy("set_id").agg(F.min("row").alias("row"))
     distinct = rows.join(first, ["set_id", "row"]).dropDuplicates(["set_id"])
 
@@ -320,7 +320,7 @@ def near_sets(docs: DataFrame, k: int, similarity: float, row: str) -> tuple[Dat
             yield pairs(*rest)
 
     n = partitions(docs.sparkSession)
-    edges = distinct.select(F.explode("keys").alias("key"), "set_id", "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    edges = distinct.select(F.explode("keys").alias("key"), "set_id", "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(meet), "a long, b long")
     heads = materialize(distinct.filter("size(keys) > 0").select("set_id", "fp"))
     leads = materialize(heads.groupBy("fp").agg(F.min("set_id").alias("lead")))
     equal = heads.join(leads, "fp").select(F.col("set_id").alias("a"), F.col("lead").alias("b"))
@@ -352,7 +352,7 @@ def near_sets(docs: DataFrame, k: int, similarity: float, row: str) -> tuple[Dat
         if len(sids) > 1:
             yield done()
 
-    found = texts.repartition(n, "component").sortWithinPartitions("component", "set_id").mapInArrow(compare, "node long, component long")
+    found = texts.repartition(n, "component").sortWithinPartitions("component", "set_id").mapInArrow(lean(compare), "node long, component long")
     return rows.select("doc_id", "row", "set_id"), materialize(found)
 
 
