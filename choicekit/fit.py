@@ -106,13 +106,13 @@ def _counts(df: DataFrame, needed: list[str], choice: str, extra: list) -> tuple
 
 def fit_columns(
     df: DataFrame, names: list[str], columns: list, terms: list[str], *, choice: str, stratum: str, cluster: str | None = None, offset: str | None = None, order_by: list[str] | None = None,
-    drop_collinear: bool = True, scale: bool = False, max_iter: int = 25, tol: float = 1e-6, compat: bool = False,
+    drop_collinear: bool = True, scale: bool = False, max_iter: int = 25, tol: float = 1e-6, compat: bool = False, n_rows: int | None = None,
 ) -> ClogitFit:
-    """The fit over design columns (expressions on df, whose rows are complete and whose choices are 0 or 1)."""
+    """The fit over design columns (expressions on df, whose rows are complete and whose choices are 0 or 1). n_rows: rows of df, if they have been counted."""
     p = len(names)
     spark = df.sparkSession
     rows = rows_of(df, stratum=stratum, y=F.col(f"`{choice}`"), x=columns, offset=F.col(f"`{offset}`") if offset else None, cluster=cluster, order_by=order_by or [])
-    packed = pack(rows, p).persist(StorageLevel.MEMORY_AND_DISK)
+    packed = pack(rows, p, n_rows).persist(StorageLevel.MEMORY_AND_DISK)
     conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     kept_conf = conf.get(key)
     try:
@@ -161,7 +161,7 @@ def fit_formula(
     cases = D.complete_cases(slim, needed)
     n_all, n_kept, _, _ = _counts(slim, needed, f.response, [])
     own = D.build(cases, f, levels)
-    fit = fit_columns(cases, own.names, own.columns, own.terms, choice=f.response, stratum=stratum, cluster=cluster, offset=offset, order_by=order_by, drop_collinear=drop_collinear, scale=scale, max_iter=max_iter, tol=tol, compat=compat)
+    fit = fit_columns(cases, own.names, own.columns, own.terms, choice=f.response, stratum=stratum, cluster=cluster, offset=offset, order_by=order_by, drop_collinear=drop_collinear, scale=scale, max_iter=max_iter, tol=tol, compat=compat, n_rows=n_kept)
     fit.formula, fit.n_dropped_rows = formula, n_all - n_kept
     return fit
 
@@ -180,4 +180,4 @@ def fit_matrix(df: DataFrame, x_cols: list[str], *, choice: str, stratum: str, o
     flat = [c for c, v in zip(x_cols, variances) if v < np.finfo(float).eps]
     if flat:
         warnings.warn(f"columns without variance: {', '.join(flat)}", stacklevel=2)
-    return fit_columns(df, x_cols, columns, list(x_cols), choice=choice, stratum=stratum, cluster=cluster, offset=offset, order_by=order_by, drop_collinear=False, max_iter=max_iter, tol=tol, compat=compat)
+    return fit_columns(df, x_cols, columns, list(x_cols), choice=choice, stratum=stratum, cluster=cluster, offset=offset, order_by=order_by, drop_collinear=False, max_iter=max_iter, tol=tol, compat=compat, n_rows=n_kept)

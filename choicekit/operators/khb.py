@@ -101,7 +101,7 @@ def khb(
             if coef[i, j]:
                 e = e - F.lit(float(coef[i, j])) * F.col(x)
         resid.append(e)
-    common = {"choice": choice, "stratum": stratum, "cluster": cluster, "offset": offset, "order_by": order_by, "max_iter": max_iter, "tol": tol}
+    common = {"choice": choice, "stratum": stratum, "cluster": cluster, "offset": offset, "order_by": order_by, "max_iter": max_iter, "tol": tol, "n_rows": cases.count()}
     z_display = [n for _, n, _ in z_all]
     try:
         n_key = len(xc.names)

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ..workers import ship
+from ..workers import ship, tasks
 
 
 def group_bounds(df: DataFrame, stratum: str) -> DataFrame:
@@ -38,8 +38,8 @@ def rows_of(df: DataFrame, *, stratum: str, y: Column, x: list[Column], offset:
     )
 
 
-def pack(rows: DataFrame, n_columns: int) -> DataFrame:
-    """rows_of() to blocks of whole choice sets, about one Arrow batch of rows each.
+def pack(rows: DataFrame, n_columns: int, n_rows: int | None = None) -> DataFrame:
+    """rows_of() to blocks of whole choice sets, about one Arrow batch of rows each. n_rows: how many rows there are, about, if that is known; else they are counted.
 
     cluster, k, n_chosen, n_clusters, chosen: arrays with an entry per set (its first row's cluster; its rows; its chosen rows; 1 or 2
     for one or several clusters; the 0-based place of its first chosen row, or -1), off and x: arrays over the
@@ -87,6 +87,6 @@ def pack(rows: DataFrame, n_columns: int) -> DataFrame:
         if held:
             yield block(pa.Table.from_batches(held))
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks(rows.sparkSession, rows.count() if n_rows is None else n_rows)
     dealt = rows.repartition(n, "stratum").sortWithinPartitions("stratum", *order).drop(*order)
     return dealt.mapInArrow(run, f"cluster array<{kind}>, k array<int>, n_chosen array<int>, n_clusters array<int>, chosen array<int>, off array<double>, x array<double>")

@@ -20,6 +20,7 @@ from ..operators import khb as K
 from ..operators import prep as P
 from ..operators import validate as V
 from ..operators.pack import group_bounds
+from ..workers import deal
 from .formula import parse
 from .oracle import chain
 from .series import run_series
@@ -48,7 +49,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def choice_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CHOICE_SETS, lineitem=read(spark, sf_dir, "lineitem"), orders=read(spark, sf_dir, "orders"))
+    """The join, the window and the sorts of a task are over about as many lines, however large the table."""
+    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    n = lines.count()
+    return spark.sql(CHOICE_SETS, lineitem=deal(lines, n, "l_orderkey"), orders=deal(orders, n, "o_orderkey"))
 
 
 def r(c: Column | str, digits: int = 6) -> Column:
@@ -316,7 +320,7 @@ def _packed(spark, sf_dir):
 
     df = choice_sets(spark, sf_dir)
     own = D.build(df, parse("y ~ x1 + x2 + f"))
-    return pack(rows_of(df, stratum="sid", y=F.col("y"), x=own.columns, offset=None, cluster="cid", order_by=[]), 4)
+    return pack(rows_of(df, stratum="sid", y=F.col("y"), x=own.columns, offset=None, cluster="cid", order_by=[]), 4, read(spark, sf_dir, "lineitem").count())
 
 
 CLUSTERED = f"{FIT4}, w AS (SELECT cid, {', '.join(f'sum(u{i}) AS u{i}' for i in range(1, 5))} FROM tu GROUP BY cid)"

@@ -218,3 +218,21 @@ def test_solve_falls_back_and_standstill_converges(monkeypatch):
     monkeypatch.setattr(kernel, "evaluate", lambda *a, **k: (-5.0, np.ones(1), np.eye(1)))
     best = newton.maximise(None, 1, kernel.Columns(np.arange(1), None))
     assert best.converged and best.iterations == 6
+
+
+def test_tasks_grow_with_the_rows_not_what_one_holds(spark, monkeypatch):
+    """Choice sets and packed sets of 6,000 rows come in tasks of about 1,000, though the shuffle setting says 4; the rows and the fit are the same."""
+    from choicekit import workers
+
+    def made():
+        df = q.choice_sets(spark, SF)
+        packed = pack(rows_of(df, stratum="sid", y=F.col("y"), x=[F.col("x1"), F.col("x2")], offset=None, cluster=None, order_by=[]), 2)
+        fit = fit_formula(df, "y ~ x1 + x2", stratum="sid")
+        return df.rdd.getNumPartitions(), packed.rdd.getNumPartitions(), sorted(map(tuple, df.collect())), fit.beta, fit.loglik
+
+    before = made()
+    monkeypatch.setattr(workers, "TASK_ROWS", 1000)
+    after = made()
+    rows = len(before[2])
+    assert max(before[:2]) <= 4 and after[0] == after[1] == -(-rows // 1000)
+    assert before[2] == after[2] and np.allclose(before[3], after[3], atol=1e-9) and abs(before[4] - after[4]) < 1e-6
